@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.session import checkpointed, parts_for
+from ostinato.session import broadcast_if_small, checkpointed, parts_for
 
 K = 5
 BLOCK_ROWS = 2048
@@ -70,18 +70,20 @@ def _fill_block(ask: pd.DataFrame, give: pd.DataFrame, numbers: int, categories:
             d += (c[:, j, None] != gc[None, :, j]) | (c[:, j, None] == 0)
         near = _closest(d, K)
         weight = 1.0 / (np.take_along_axis(d, near, axis=1) + 0.05)
-        for i in range(len(a)):
-            donors, w = near[i], weight[i]
-            out["donors"].append(keys[donors])
-            values = number[donors]
-            if not np.isnan(values).all():
-                by = np.argsort(values, kind="stable")
-                out["number"].append(float(values[by][np.searchsorted(np.cumsum(w[by]), w.sum() / 2)]))
-                out["category"].append(None)
-            else:
-                votes = pd.Series(w).groupby(category[donors]).sum().sort_index()
-                out["number"].append(None)
-                out["category"].append(votes.idxmax())
+        out["donors"].extend(keys[near])
+        values = number[near]
+        if not np.isnan(values).all():
+            by = np.argsort(values, axis=1, kind="stable")
+            upto = np.cumsum(np.take_along_axis(weight, by, axis=1), axis=1)
+            middle = (upto >= upto[:, -1:] / 2).argmax(axis=1)
+            out["number"].extend(np.take_along_axis(values, by, axis=1)[np.arange(len(a)), middle].tolist())
+            out["category"].extend([None] * len(a))
+        else:
+            kinds, which = np.unique(category.astype(str), return_inverse=True)
+            votes = np.zeros((len(a), len(kinds)))
+            np.add.at(votes, (np.arange(len(a))[:, None], which[near]), weight)
+            out["number"].extend([None] * len(a))
+            out["category"].extend(kinds[votes.argmax(axis=1)].tolist())
     return out
 
 
@@ -167,7 +169,8 @@ def hot_deck(df: DataFrame, key: str, plan: Plan) -> DataFrame:
         .select("key", "field", "best.level", "best.hash", "best.n")
     )
     lacking = checkpointed(lacking)
-    used = lacking.select("field", "level", "hash", "n").distinct()
+    # Only blocks that are asked for are read; where few are, donors are filtered before any shuffle.
+    used = broadcast_if_small(lacking.select("field", "level", "hash", "n").distinct())
     give = donors.join(used, ["field", "level", "hash"])
     ask = lacking.join(records.filter("NOT donor").select("key", "field", "numbers", "categories", "rank", "number", "category", "donor"), ["key", "field"])
     columns = ["key", "numbers", "categories", "rank", "field", "number", "category", "donor", "level", "hash", "n"]
