@@ -112,8 +112,10 @@ def best_ends(n: int, places: np.ndarray, cost: np.ndarray, mid: np.ndarray, rou
             cut_short, next_spare = SPARE * rough[lo:hi].astype(np.int64), SPARE * mid[lo:hi].astype(np.int64)
         if not len(q):
             return None
-        size = np.subtract.outer((q + cut_short).astype(np.float64), (at - spare).astype(np.float64))  # without the overlap
+        size = np.subtract.outer(q, at).astype(np.float64)  # without the overlap
         wrong = size > step
+        if spare.any() or cut_short.any():
+            wrong |= size + spare + cut_short[:, None] > step
         wrong |= np.less_equal.outer(q, at)
         size -= even - overlap
         size *= size

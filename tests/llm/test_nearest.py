@@ -13,8 +13,10 @@ RIGHT = "entity string, t double, id long, gap int"
 def brute(left, right, tolerance):
     out = set()
     for e, t, i, _ in left:
-        near = [(abs(u - t), u, j) for f, u, j, _ in right if f == e and e is not None and u is not None and u == u and j is not None]
-        if e is not None and t is not None and t == t and i is not None and near:
+        if e is None or t is None or i is None or t != t:
+            continue
+        near = [(abs(u - t), u, j) for f, u, j, _ in right if f == e and u is not None and u == u and j is not None]
+        if near:
             gap, _, j = min((round(g, 9), u, j) for g, u, j in near)
             if gap <= tolerance:
                 out.add((i, j))

@@ -28,7 +28,7 @@ def leaks(rows, split):
     return [k for k, s in by.items() if len(s) > 1]
 
 
-@pytest.mark.parametrize("shard", [5, 5000])
+@pytest.mark.parametrize("shard", [60, 5000])
 def test_whole_together_and_in_proportion(spark, monkeypatch, shard):
     monkeypatch.setattr(splits, "SHARD", shard)
     monkeypatch.setattr(splits, "LARGE", 50)
