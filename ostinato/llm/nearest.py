@@ -14,7 +14,6 @@ taken. Each left record gives at most one row for each entity it belongs to. Ext
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,10 +70,10 @@ def positions(keys: np.ndarray, first: np.ndarray, slopes: np.ndarray, asked: np
 def _match_bucket(tolerance: float):
     def match(data: pa.Table) -> pa.Table:
         g = data.to_pandas()
-        left, right = g[g["side"] == 0], g[g["side"] == 1]
-        if left.empty or right.empty:
+        if g["side"].nunique() < 2:
             return _ROWS.empty_table()
-        codes, _ = pd.factorize(g["place"])
+        # Arrow compares whole strings; pandas would end them at a NUL.
+        codes = data.column("place").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
         g = g.assign(code=codes)
         # One key for place and time: places don't overlap, times count from the start of their shard.
         span = 4 * (SHARD_SECONDS + 2 * tolerance)
@@ -116,7 +115,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: float) -> Data
     salts = F.coalesce("salts", F.lit(1).cast("long"))
     asked = asked.join(hot, ["entity", "shard"], "left").withColumn("salt", F.pmod(F.xxhash64("id", "t"), salts))
     held = held.join(hot, ["entity", "shard"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
-    columns = ["t", "id", "shard", F.xxhash64("entity", "shard", "salt").alias("hash"), F.concat_ws("\x00", "entity", "shard", "salt").alias("place")]
+    columns = ["t", "id", "shard", F.xxhash64("entity", "shard", "salt").alias("hash"), F.concat_ws("\x1f", "entity", "shard", "salt").alias("place")]
     both = asked.select(F.lit(0).alias("side"), *columns).unionByName(held.select(F.lit(1).alias("side"), *columns))
     buckets = parts_for(left.count() + right.count(), ROWS_A_BUCKET)
     return both.withColumn("bucket", F.pmod("hash", F.lit(buckets))).groupBy("bucket").applyInArrow(_match_bucket(tolerance), "left_id long, right_id long, gap double")

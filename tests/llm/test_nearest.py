@@ -73,6 +73,12 @@ def test_best_delay_and_paths(spark):
     assert sorted((r["mark_id"], r["note_key"]) for r in nearest.marks_to_notes(marks, delays, notes).collect()) == [(1, 7), (1, 8)]
 
 
+def test_entities_that_differ_after_a_nul(spark):
+    left = spark.createDataFrame([("a\x00b", 1.0, 1, ""), ("a\x00c", 2.0, 2, "")], LEFT)
+    right = spark.createDataFrame([("a\x00c", 1.0, 5, 0), ("a\x00b", 1.1, 6, 0), ("a\x00c", 2.0, 7, 0)], RIGHT)
+    assert sorted((r["left_id"], r["right_id"]) for r in nearest.nearest_in_time(left, right, 0.15).collect()) == [(1, 6), (2, 7)]
+
+
 def test_empty(spark):
     none, one = spark.createDataFrame([], LEFT), spark.createDataFrame([("a", 1.0, 1, 0)], RIGHT)
     assert nearest.nearest_in_time(none, one, 0.1).count() == 0
