@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ostinato.operators import blocks
 from ostinato.session import present
 
 BUCKET_SECONDS = 4.0
@@ -86,41 +87,35 @@ def last_wins(points: DataFrame, intervals: DataFrame, keys: Sequence[str], poin
     return best.select(*keys, *point, *[F.col(f"__best.{c}").alias(c) for c in take])
 
 
-def _timeline(points: DataFrame, marks: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> DataFrame:
-    """Points (t) and marks (mark_t) on one line of time; carried: columns of the marks."""
-    p = points.select("*", F.lit(0).alias("__mark"), *[F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in ["mark_t", *carried]])
-    m = marks.select(*keys, F.col("mark_t").alias("t"), *[c for c in ["mark_t", *carried]], F.lit(1).alias("__mark"))
-    return p.unionByName(m, allowMissingColumns=True)
+def _timeline(points: DataFrame, marks: DataFrame, carried: Sequence[str], point_place: int, mark_place: int) -> DataFrame:
+    """Points (t) and marks (mark_t) on one line of time in parts; __place orders them at equal times."""
+    p = points.select("*", F.lit(False).alias("__mark"), F.lit(point_place).alias("__place"), *[F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in ["mark_t", *carried]])
+    m = marks.withColumns({"t": F.col("mark_t"), "__mark": F.lit(True), "__place": F.lit(mark_place)})
+    return blocks.parted(p.unionByName(m, allowMissingColumns=True).filter(present("t")), "t", blocks.SECONDS)
 
 
 def asof(points: DataFrame, marks: DataFrame, keys: Sequence[str], carried: Sequence[str], direction: str = "backward", strict: bool = False) -> DataFrame:
     """Each point with mark_t and `carried` of the last mark at or before it (backward) or the first at or after it (forward).
 
     strict: a mark at the same time doesn't count. Of marks at the same time the one with the largest `carried` is taken.
+    Points without a time are left out; keys must not be null.
     """
-    line = _timeline(points, marks, keys, carried)
+    # Of marks at the same time only the largest is kept.
+    m = marks.groupBy(*keys, "mark_t").agg(F.max(F.struct(*carried)).alias("__c")).select(*keys, "mark_t", *[F.col(f"__c.{c}").alias(c) for c in carried])
     before = direction == "backward"
-    # At equal times marks come before points, unless strict; the other way round when looking forward.
-    tie = F.when(F.col("__mark") == 1, 0 if before != strict else 2).otherwise(1)
-    w = Window.partitionBy(*keys).orderBy("t", tie, *(carried if before else [F.desc(c) for c in carried]))
-    packed = F.when(F.col("__mark") == 1, F.struct("mark_t", *carried))
-    if before:
-        got = F.last(packed, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        got = F.first(packed, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    out = line.withColumn("__got", got).filter("__mark = 0")
+    line = _timeline(points, m, carried, 1, 0 if before != strict else 2)
+    packed = F.when(F.col("__mark"), F.struct("mark_t", *carried))
+    out = blocks.known(line, keys, ["t", "__place"], packed, "__got", after=not before).filter("NOT __mark")
     return out.select(*points.columns, "__got.mark_t", *[f"__got.{c}" for c in carried])
 
 
 def lerp(points: DataFrame, marks: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Each point (t) with `value` of the marks (mark_t, value) interpolated at its time; beyond the first and last mark their value."""
-    line = _timeline(points, marks, keys, [value])
-    tie = F.col("__mark").desc()
-    packed = F.when(F.col("__mark") == 1, F.struct(F.col("mark_t").alias("t"), F.col(value).alias("v")))
-    w = Window.partitionBy(*keys).orderBy("t", tie, value)
-    lo = F.last(packed, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first(packed, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    x = line.select("*", lo.alias("__a"), hi.alias("__b")).filter("__mark = 0")
+    m = marks.groupBy(*keys, "mark_t").agg(F.max(value).alias(value))
+    packed = F.when(F.col("__mark"), F.struct(F.col("mark_t").alias("t"), F.col(value).alias("v")))
+    x = blocks.known(_timeline(points, m, [value], 1, 0), keys, ["t", "__place"], packed, "__a")
+    x = x.withColumn("__place", F.when(F.col("__mark"), 2).otherwise(1))
+    x = blocks.known(x, keys, ["t", "__place"], packed, "__b", after=True).filter("NOT __mark")
     share = (F.col("t") - F.col("__a.t")) / F.nullif(F.col("__b.t") - F.col("__a.t"), F.lit(0.0))
     mid = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * share
     v = F.when(F.col("__a.t") == F.col("t"), F.col("__a.v")).otherwise(F.coalesce(mid, "__a.v", "__b.v"))
@@ -132,13 +127,11 @@ def nearest_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str
 
     Intervals of a key must not overlap: then the nearest one is the last that starts at or before the point, or the next.
     """
-    marks = intervals.select(*keys, F.col("start").alias("mark_t"), "end", label)
-    line = _timeline(points, marks, keys, ["end", label])
-    packed = F.when(F.col("__mark") == 1, F.struct("mark_t", "end", label))
-    w = Window.partitionBy(*keys).orderBy("t", F.col("__mark").desc(), "end")
-    lo = F.last(packed, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first(packed, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    x = line.select("*", lo.alias("__a"), hi.alias("__b")).filter("__mark = 0")
+    m = intervals.select(*keys, F.col("start").alias("mark_t"), "end", label)
+    packed = F.when(F.col("__mark"), F.struct("mark_t", "end", label))
+    x = blocks.known(_timeline(points, m, ["end", label], 1, 0), keys, ["t", "__place", "end"], packed, "__a")
+    x = x.withColumn("__place", F.when(F.col("__mark"), 2).otherwise(1))
+    x = blocks.known(x, keys, ["t", "__place", "end"], packed, "__b", after=True).filter("NOT __mark")
     before = F.greatest(F.lit(0.0), F.col("t") - F.col("__a.end"))
     after = F.col("__b.mark_t") - F.col("t")
     best = F.when(F.col("__b").isNull() | (before <= after), F.col("__a")).otherwise(F.col("__b"))

@@ -1,18 +1,21 @@
 """Ordered operators on series: crossings, islands, filters, neighbours, running values.
 
-keys are the columns of a series, order its order. A series is one partition of a window; for very long
-series give the block of time as one more key, and the halo that an operator needs as copied rows.
+keys are the columns of a series, order its order. Series are worked on in parts (see blocks), of `width`
+units of the first order column; results don't depend on the width.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ostinato.operators import blocks
+
 
 def ordered(keys: Sequence[str], *order) -> Window:
+    """A plain window, for groups of bounded size such as takes."""
     return Window.partitionBy(*keys).orderBy(*order)
 
 
@@ -21,62 +24,70 @@ def running_before(x, w) -> Column:
     return F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("double"))
 
 
-def crossings(df: DataFrame, keys: Sequence[str], order: Sequence[str], v: str, threshold) -> DataFrame:
+def before(df: DataFrame, keys: Sequence[str], order: Sequence[str], v: str, name: str, width: float = blocks.ROWS) -> DataFrame:
+    """v of the row before as column `name`."""
+    x = blocks.neighbour(blocks.parted(df, order[0], width), keys, order, F.struct(F.col(v).alias("v")), name)
+    return blocks.tidy(x.withColumn(name, F.col(name)["v"]))
+
+
+def crossings(df: DataFrame, keys: Sequence[str], order: Sequence[str], v: str, threshold, width: float = blocks.ROWS) -> DataFrame:
     """direction: up where v reaches the threshold from below, down where it falls under it."""
-    w = ordered(keys, *order)
     thr = F.lit(threshold) if isinstance(threshold, (int, float)) else F.col(threshold)
-    before = F.lag(v).over(w)
-    up, down = (before < thr) & (F.col(v) >= thr), (before >= thr) & (F.col(v) < thr)
-    return df.withColumn("direction", F.when(up, "up").when(down, "down")).filter("direction IS NOT NULL")
+    x = before(df, keys, order, v, "__b", width)
+    up, down = (F.col("__b") < thr) & (F.col(v) >= thr), (F.col("__b") >= thr) & (F.col(v) < thr)
+    return x.withColumn("direction", F.when(up, "up").when(down, "down")).filter("direction IS NOT NULL").drop("__b")
 
 
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], active: Column, min_gap: int = 1) -> DataFrame:
+def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], active: Column, min_gap: int = 1, width: float = blocks.ROWS) -> DataFrame:
     """Regions of active rows; inactive rows between two of them split them only if there are at least min_gap.
 
     first and last row (columns first_*, last_* for the order columns), n_active, island numbered from 1.
     """
     keys = list(keys)
-    w = ordered(keys, *order)
-    rows = df.withColumn("__i", F.row_number().over(w)).filter(active)
-    w2 = ordered(keys, "__i")
-    new = (F.col("__i") - F.lag("__i").over(w2) > min_gap) | F.lag("__i").over(w2).isNull()
-    rows = rows.withColumn("island", F.sum(new.cast("int")).over(w2.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = blocks.numbered(df, keys, order, width, "__i").filter(active)
+    rows = blocks.neighbour(rows, keys, ["__i"], F.struct("__i"), "__b")
+    new = (F.col("__i") - F.col("__b.__i") > min_gap) | F.col("__b").isNull()
+    rows = blocks.running_total(rows, keys, ["__i"], new.cast("long"), "island")
     ends = [f for c in order for f in (F.min_by(c, "__i").alias(f"first_{c}"), F.max_by(c, "__i").alias(f"last_{c}"))]
     return rows.groupBy(*keys, "island").agg(*ends, F.count("*").alias("n_active"))
 
 
-def median_filter(v: str, w, radius: int) -> Column:
-    """Median of 2*radius + 1 rows around each; missing ones at the ends count as 0."""
-    frame = w.rowsBetween(-radius, radius)
+def median_filter(df: DataFrame, keys: Sequence[str], order: Sequence[str], v: str, radius: int, name: str, width: float = blocks.ROWS) -> DataFrame:
+    """Median of 2*radius + 1 rows around each as column `name`; missing ones at the ends count as 0."""
+    x, w = blocks.with_halo(df, keys, order, radius, width)
     size = 2 * radius + 1
-    values = F.collect_list(v).over(frame)
+    values = F.collect_list(v).over(w.rowsBetween(-radius, radius))
     padded = F.array_sort(F.concat(values, F.array_repeat(F.lit(0.0), size - F.size(values))))
-    return F.element_at(padded, radius + 1)
+    return blocks.tidy(x.withColumn(name, F.element_at(padded, radius + 1)).filter("own"))
 
 
-def change_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], v: str) -> DataFrame:
+def change_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], v: str, width: float = blocks.ROWS) -> DataFrame:
     """Rows whose successor has another value, with it as column `next`."""
-    return df.withColumn("next", F.lead(v).over(ordered(keys, *order))).filter(F.col("next") != F.col(v))
+    x = blocks.neighbour(blocks.parted(df, order[0], width), keys, order, F.struct(F.col(v).alias("v")), "__n", after=True)
+    return blocks.tidy(x.withColumn("next", F.col("__n.v")).drop("__n").filter(F.col("next") != F.col(v)))
 
 
-def rolling(v: str, w, radius: int, how) -> Column:
-    """how(v) over 2*radius + 1 rows, 0 where the window isn't full."""
+def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], v: str, radius: int, how: Callable[[str], Column], name: str, width: float = blocks.ROWS) -> DataFrame:
+    """how(v) over 2*radius + 1 rows as column `name`, 0 where the window isn't full."""
+    x, w = blocks.with_halo(df, keys, order, radius, width)
     frame = w.rowsBetween(-radius, radius)
-    return F.when(F.count("*").over(frame) == 2 * radius + 1, how(v).over(frame)).otherwise(F.lit(0.0))
+    full = F.count("*").over(frame) == 2 * radius + 1
+    return blocks.tidy(x.withColumn(name, F.when(full, how(v).over(frame)).otherwise(F.lit(0.0))).filter("own"))
 
 
-def local_maxima(df: DataFrame, keys: Sequence[str], order: Sequence[str], v: str, radius: int = 1) -> DataFrame:
+def local_maxima(df: DataFrame, keys: Sequence[str], order: Sequence[str], v: str, radius: int = 1, width: float = blocks.ROWS) -> DataFrame:
     """Rows above all of the `radius` rows on either side; the first and last row of a series are none."""
-    w = ordered(keys, *order)
-    before, after = F.max(v).over(w.rowsBetween(-radius, -1)), F.max(v).over(w.rowsBetween(1, radius))
-    return df.withColumn("__a", before).withColumn("__b", after).filter((F.col(v) > F.col("__a")) & (F.col(v) > F.col("__b"))).drop("__a", "__b")
+    x, w = blocks.with_halo(df, keys, order, radius, width)
+    x = x.withColumn("__a", F.max(v).over(w.rowsBetween(-radius, -1))).withColumn("__b", F.max(v).over(w.rowsBetween(1, radius)))
+    return blocks.tidy(x.filter(F.col("own") & (F.col(v) > F.col("__a")) & (F.col(v) > F.col("__b"))).drop("__a", "__b"))
 
 
-def forget_fill(v: str, t: str, w, forget: float) -> Column:
-    """v, or the last known value before it if that is at most `forget` seconds old."""
+def forget_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], v: str, forget: float, name: str, width: float = blocks.SECONDS) -> DataFrame:
+    """v, or the last known value before it if that is at most `forget` seconds old, as column `name`; the first order column is the time."""
+    t = order[0]
     seen = F.when(F.col(v).isNotNull(), F.struct(F.col(v).alias("v"), F.col(t).alias("t")))
-    last = F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return F.when(F.col(t) - last["t"] <= forget, last["v"])
+    x = blocks.known(blocks.parted(df, t, width), keys, order, seen, "__s")
+    return blocks.tidy(x.withColumn(name, F.when(F.col(t) - F.col("__s.t") <= forget, F.col("__s.v"))).drop("__s"))
 
 
 def above_running_maximum(df: DataFrame, keys: Sequence[str], block: str, v: str, percentile: float = 0.99) -> DataFrame:
@@ -89,13 +100,13 @@ def above_running_maximum(df: DataFrame, keys: Sequence[str], block: str, v: str
     return df.join(top, list(keys)).filter(F.col(v) >= F.col("threshold"))
 
 
-def phrases(df: DataFrame, keys: Sequence[str], order: str, v: str, share: float = 0.01) -> DataFrame:
+def phrases(df: DataFrame, keys: Sequence[str], order: str, v: str, share: float = 0.01, width: float = blocks.SECONDS) -> DataFrame:
     """Onsets with the next offset: start, end; threshold: `share` of the 99th percentile of v. Open phrases end with the series."""
     keys = list(keys)
     thr = df.groupBy(*keys).agg((F.percentile(v, 0.99) * share).alias("threshold"), F.max(order).alias("__last"))
-    w = ordered(keys, order)
     x = df.join(thr, keys).withColumn("__on", F.col(v) >= F.col("threshold"))
-    was = F.coalesce(F.lag("__on").over(w), F.lit(False))
-    x = x.withColumn("__edge", F.when(F.col("__on") & ~was, "on").when(~F.col("__on") & was, "off")).filter("__edge IS NOT NULL")
-    x = x.withColumn("end", F.coalesce(F.lead(order).over(w), F.col("__last")))
-    return x.filter("__edge = 'on'").select(*keys, F.col(order).alias("start"), "end", "threshold")
+    x = blocks.neighbour(blocks.parted(x, order, width), keys, [order], F.struct("__on"), "__b")
+    was = F.coalesce(F.col("__b.__on"), F.lit(False))
+    x = x.withColumn("__edge", F.when(F.col("__on") & ~was, "on").when(~F.col("__on") & was, "off")).filter("__edge IS NOT NULL").drop("__b")
+    x = blocks.neighbour(x, keys, [order], F.struct(F.col(order).alias("t")), "__n", after=True)
+    return x.filter("__edge = 'on'").select(*keys, F.col(order).alias("start"), F.coalesce("__n.t", "__last").alias("end"), "threshold")

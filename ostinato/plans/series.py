@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinato.functions import exprs
-from ostinato.operators import intervals, stats, windows
+from ostinato.operators import blocks, intervals, stats, windows
 from ostinato.plans import views
 from ostinato.plans.registry import Registry
 from ostinato.plans.views import P, R, rounded
@@ -88,7 +88,7 @@ def threshold_crossings(spark: SparkSession, d: str) -> DataFrame:
 def _crossings(spark: SparkSession, d: str) -> DataFrame:
     r = _ampl(spark, d)
     levels = stats.silence_voice(r, ["series_id"], "v").select("series_id", "threshold")
-    return windows.crossings(r.join(levels, "series_id"), ["series_id"], ["t", "frame_idx"], "v", "threshold")
+    return windows.crossings(r.join(levels, "series_id"), ["series_id"], ["t", "frame_idx"], "v", "threshold", blocks.SECONDS)
 
 
 @registry.query(
@@ -102,8 +102,7 @@ LEFT JOIN (SELECT series_id, count(*) FILTER (direction = 'up') AS n_up, min(t)
 def silence_report(spark: SparkSession, d: str) -> DataFrame:
     r = _ampl(spark, d)
     levels = stats.silence_voice(r, ["series_id"], "v").select("series_id", "threshold")
-    w = windows.ordered(["series_id"], "t", "frame_idx")
-    x = r.join(levels, "series_id").withColumn("before", F.lag("v").over(w))
+    x = windows.before(r.join(levels, "series_id"), ["series_id"], ["t", "frame_idx"], "v", "before", blocks.SECONDS)
     up = (F.col("before") < F.col("threshold")) & (F.col("v") >= F.col("threshold"))
     down = (F.col("before") >= F.col("threshold")) & (F.col("v") < F.col("threshold"))
     g = x.groupBy("series_id").agg(
@@ -160,7 +159,7 @@ g AS (SELECT *, count(*) OVER (PARTITION BY series_id, frame) AS held FROM f)"""
 
 def _framed(r: DataFrame) -> DataFrame:
     """Rows of a series in frames of _WINDOW rows every _HOP rows: frame, place within it; only full frames."""
-    pos = r.withColumn("pos", F.row_number().over(windows.ordered(["series_id"], "frame_idx")) - 1)
+    pos = blocks.tidy(blocks.numbered(r, ["series_id"], ["frame_idx"], blocks.ROWS))
     own = F.floor(F.col("pos") / _HOP)
     f = pos.withColumn("frame", F.explode(F.sequence(F.greatest(own - (_WINDOW // _HOP - 1), F.lit(0)), own)))
     f = f.withColumn("place", F.col("pos") - F.col("frame") * _HOP)
@@ -246,7 +245,7 @@ def phrase_silence_spans(spark: SparkSession, d: str) -> DataFrame:
 )
 def median_filter(spark: SparkSession, d: str) -> DataFrame:
     r = views.readings(spark, d).filter(F.col("label").endswith("_f0"))
-    return r.select("series_id", "frame_idx", windows.median_filter("v", windows.ordered(["series_id"], "frame_idx"), 2).alias("smooth"))
+    return windows.median_filter(r, ["series_id"], ["frame_idx"], "v", 2, "smooth").select("series_id", "frame_idx", "smooth")
 
 
 @registry.query("change_points", _sql("SELECT * FROM (SELECT series_id, frame_idx, v, lead(v) OVER (PARTITION BY series_id ORDER BY frame_idx) AS next FROM r WHERE r.label = 'tongue_contact') WHERE next <> v", R))
@@ -260,8 +259,8 @@ def change_points(spark: SparkSession, d: str) -> DataFrame:
     _sql("SELECT series_id, frame_idx, CASE WHEN count(*) OVER w = 9 THEN round(stddev_pop(v) OVER w, 5) ELSE 0 END AS spread FROM r WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)", R),
 )
 def rolling_std(spark: SparkSession, d: str) -> DataFrame:
-    w = windows.ordered(["series_id"], "frame_idx")
-    return views.readings(spark, d).select("series_id", "frame_idx", F.round(windows.rolling("v", w, 4, F.stddev_pop), 5).alias("spread"))
+    x = windows.rolling(views.readings(spark, d), ["series_id"], ["frame_idx"], "v", 4, F.stddev_pop, "spread")
+    return rounded(x.select("series_id", "frame_idx", "spread"), 5, "spread")
 
 
 @registry.query(
@@ -291,7 +290,7 @@ SELECT series_id, frame_idx, CASE WHEN t - s.t <= 0.05 THEN s.v END AS v FROM y
 )
 def forward_fill_forget(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "readings").select("series_id", "frame_idx", "t", exprs.clean("v").alias("v")).filter(present("t")).dropDuplicates(["series_id", "frame_idx"])
-    return x.select("series_id", "frame_idx", windows.forget_fill("v", "t", windows.ordered(["series_id"], "t", "frame_idx"), 0.05).alias("v"))
+    return windows.forget_fill(x, ["series_id"], ["t", "frame_idx"], "v", 0.05, "filled").select("series_id", "frame_idx", F.col("filled").alias("v"))
 
 
 @registry.query(
@@ -301,8 +300,11 @@ def forward_fill_forget(spark: SparkSession, d: str) -> DataFrame:
 def top_peaks(spark: SparkSession, d: str) -> DataFrame:
     """The five highest peaks of each series: a top-n report."""
     x = windows.local_maxima(_ampl(spark, d), ["series_id"], ["frame_idx"], "v", 2)
-    place = F.row_number().over(windows.ordered(["series_id"], F.desc("v"), "frame_idx")).cast("long")
-    return x.select("series_id", "frame_idx", "v", place.alias("place")).filter("place <= 5")
+    # The best five of each part first, then the best five of those.
+    x = blocks.parted(x, "frame_idx", blocks.ROWS)
+    for keys in (["series_id", blocks.PART], ["series_id"]):
+        x = x.withColumn("place", F.row_number().over(windows.ordered(keys, F.desc("v"), "frame_idx")).cast("long")).filter("place <= 5")
+    return x.select("series_id", "frame_idx", "v", "place")
 
 
 _PAIR = """a AS (SELECT rec_id, t FROM p WHERE label = 'barrel_f0' GROUP BY ALL),

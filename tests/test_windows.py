@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ostinato.operators import derive, stats, windows
+from ostinato.operators import blocks, derive, stats, windows
 
 
 def frame(spark, values, key="a"):
@@ -14,8 +14,9 @@ def test_crossings(spark):
     assert [(r["i"], r["direction"]) for r in got] == [(1, "up"), (3, "down"), (4, "up")]
 
 
-@pytest.mark.parametrize("gap", [1, 2, 3])
-def test_islands_as_loop(spark, gap):
+@pytest.mark.parametrize("width", [1, 7, 8192])
+@pytest.mark.parametrize("gap", [1, 3])
+def test_islands_as_loop(spark, gap, width):
     mask = np.random.default_rng(gap).random(200) < 0.4
     want, current, idle = [], None, 0
     for i, on in enumerate(mask):
@@ -29,21 +30,19 @@ def test_islands_as_loop(spark, gap):
             idle += 1
     want.append(current)
     df = frame(spark, mask.astype(float))
-    got = windows.islands(df, ["key"], ["i"], F.col("v") > 0, gap).orderBy("island").collect()
+    got = windows.islands(df, ["key"], ["i"], F.col("v") > 0, gap, width).orderBy("island").collect()
     assert [[r["first_i"], r["last_i"]] for r in got] == want
 
 
 def test_median_filter_pads_with_zeros(spark):
     x = [5, 1, 4, 9, 2]
-    w = windows.ordered(["key"], "i")
-    got = [r["m"] for r in frame(spark, x).select("i", windows.median_filter("v", w, 1).alias("m")).orderBy("i").collect()]
+    got = [r["m"] for r in windows.median_filter(frame(spark, x), ["key"], ["i"], "v", 1, "m").orderBy("i").collect()]
     assert got == [1, 4, 4, 4, 2]
 
 
 def test_forget(spark):
     df = frame(spark, [1, None, None, None, 2, None])
-    w = windows.ordered(["key"], "i")
-    got = [r["m"] for r in df.select("i", windows.forget_fill("v", "i", w, 2).alias("m")).orderBy("i").collect()]
+    got = [r["m"] for r in windows.forget_fill(df, ["key"], ["i"], "v", 2, "m", width=2).orderBy("i").collect()]
     assert got == [1, 1, 1, None, 2, 2]
 
 
@@ -86,3 +85,24 @@ def test_modes_and_missing_spread(spark):
     assert [r["normal"] for r in stats.normalised(df, ["key"], "v", "minmax").collect()] == [None] * 3
     with pytest.raises(ValueError):
         stats.normalised(df, ["key"], "v", "other")
+
+
+@pytest.mark.parametrize("width", [1, 3, 100])
+def test_parts_change_nothing(spark, monkeypatch, width):
+    monkeypatch.setattr(blocks, "ROWS", width + 2)
+    rng = np.random.default_rng(width)
+    rows = [(k, int(i), None if rng.random() < 0.3 else float(rng.integers(0, 4))) for k in "ab" for i in np.sort(rng.choice(200, 60, replace=False))]
+    df = spark.createDataFrame(rows, "key string, i int, v double")
+    w = windows.ordered(["key"], "i")
+    plain = df.select(
+        "key", "i", F.lag("v").over(w).alias("b"), F.last("v", ignorenulls=True).over(w.rowsBetween(-1000, 0)).alias("l"), F.first("v", ignorenulls=True).over(w.rowsBetween(0, 1000)).alias("f"), F.row_number().over(w).alias("n"), F.max("v").over(w.rowsBetween(-2, 2)).alias("m")
+    )
+    x = blocks.parted(df, "i", width)
+    packed = F.when(F.col("v").isNotNull(), F.struct("v"))
+    x = blocks.neighbour(x, ["key"], ["i"], F.struct("v"), "b")
+    x = blocks.known(blocks.known(x, ["key"], ["i"], packed, "l"), ["key"], ["i"], packed, "f", after=True)
+    x = blocks.running_total(x, ["key"], ["i"], F.lit(1), "n").select("key", "i", "b.v", "l.v", "f.v", "n")
+    assert sorted(map(repr, (tuple(r) for r in x.collect()))) == sorted(map(repr, (tuple(r)[:6] for r in plain.collect())))
+    h, hw = blocks.with_halo(df, ["key"], ["i"], 2, width)
+    h = h.withColumn("m", F.max("v").over(hw.rowsBetween(-2, 2))).filter("own")
+    assert sorted(map(repr, ((r["key"], r["i"], r["m"]) for r in h.collect()))) == sorted(map(repr, ((r["key"], r["i"], r["m"]) for r in plain.collect())))
