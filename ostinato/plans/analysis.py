@@ -219,7 +219,7 @@ def marker_centres(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.query(
     "marker_geometry",
-    _sql("""SELECT mark_id, round(degrees(atan((y - py) / nullif(CAST(x - px AS DOUBLE), 0))), 6) AS angle, round(sqrt((x - px) * (x - px) + (y - py) * (y - py)), 6) AS moved, CASE WHEN h > w THEN 90.0 ELSE 0.0 END AS long_side
+    _sql("""SELECT mark_id, round(degrees(atan((y - py) / nullif(CAST(x - px AS DOUBLE), 0))), 6) AS angle, round(sqrt((x - px) * (x - px) + (y - py) * (y - py)), 6) AS moved, CAST(CASE WHEN h > w THEN 90 ELSE 0 END AS DOUBLE) AS long_side
 FROM (SELECT *, lag(x) OVER (PARTITION BY video, marker_id ORDER BY msec, mark_id) AS px, lag(y) OVER (PARTITION BY video, marker_id ORDER BY msec, mark_id) AS py FROM m WHERE marker_id IS NOT NULL) WHERE px IS NOT NULL""", M),
 )
 def marker_geometry(spark: SparkSession, d: str) -> DataFrame:

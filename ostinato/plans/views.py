@@ -67,8 +67,8 @@ N = f"""n AS (
   SELECT DISTINCT note_key, {path_sql('wavfile')} AS file, ver_nbr, note_id, note_label, tune, subject_id,
     CASE WHEN lower(trim(instrument)) IN ('lab', 'own') THEN lower(trim(instrument)) END AS instrument,
     note_start AS "start", note_end AS "end", sound_start, sound_end,
-    CASE WHEN f0_avg > 59.999 AND f0_avg <= 1600 THEN f0_avg END AS f0, CASE WHEN NOT isnan(f0_var) THEN f0_var END AS f0_var,
-    CASE WHEN ext_ampl_avg > 0 AND ext_ampl_avg <= 120 THEN ext_ampl_avg END AS ampl, CASE WHEN NOT isnan(ext_ampl_var) THEN ext_ampl_var END AS ampl_var
+    CASE WHEN NOT isnan(f0_avg) AND f0_avg > 59.999 AND f0_avg <= 1600 THEN f0_avg END AS f0, CASE WHEN NOT isnan(f0_var) THEN f0_var END AS f0_var,
+    CASE WHEN NOT isnan(ext_ampl_avg) AND ext_ampl_avg > 0 AND ext_ampl_avg <= 120 THEN ext_ampl_avg END AS ampl, CASE WHEN NOT isnan(ext_ampl_var) THEN ext_ampl_var END AS ampl_var
   FROM notes WHERE note_start IS NOT NULL AND NOT isnan(note_start) AND note_end IS NOT NULL AND NOT isnan(note_end)
 )"""
 
