@@ -20,19 +20,22 @@ def align(x, y, match: float = 1, mismatch: float = 1, gap: float = 2, border_ga
     Of equal choices a pair is preferred to a gap in y, that to a gap in x. Gaps before the first or after none
     of the other sequence cost border_gap each.
     """
+    x, y = list(x), list(y)
     n, m = len(x), len(y)
-    best = np.empty((n + 1, m + 1))
-    best[:, 0], best[0, :] = -border_gap * np.arange(n + 1), -border_gap * np.arange(m + 1)
+    best = [[-border_gap * j for j in range(m + 1)]]
     for i in range(1, n + 1):
+        above, left = best[-1], -border_gap * i
+        row = [left]
         for j in range(1, m + 1):
-            pair = best[i - 1, j - 1] + (match if x[i - 1] == y[j - 1] else -mismatch)
-            best[i, j] = max(pair, best[i - 1, j] - gap, best[i, j - 1] - gap)
+            left = max(above[j - 1] + (match if x[i - 1] == y[j - 1] else -mismatch), above[j] - gap, left - gap)
+            row.append(left)
+        best.append(row)
     out, i, j = [], n, m
     while i or j:
-        if i and j and best[i, j] == best[i - 1, j - 1] + (match if x[i - 1] == y[j - 1] else -mismatch):
+        if i and j and best[i][j] == best[i - 1][j - 1] + (match if x[i - 1] == y[j - 1] else -mismatch):
             i, j = i - 1, j - 1
             out.append((i, j))
-        elif i and (not j or best[i, j] == best[i - 1, j] - gap):
+        elif i and (not j or best[i][j] == best[i - 1][j] - gap):
             i -= 1
             out.append((i, GAP))
         else:

@@ -7,58 +7,76 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.operators.grouped import per_group
-
 
 def kalman_smooth(z: np.ndarray, observation=(0.05, 0.001), process=(0.15, 0.015, 0.25, 0.05, 0.1, 0.025), calm: float = 1.0) -> np.ndarray:
-    """Positions of a point moving at near constant velocity, smoothed forwards and backwards; NaN rows are missing.
+    """Positions (tracks, time, 2) of points moving at near constant velocity, smoothed forwards and backwards; NaN is missing.
 
     observation: variance and covariance of a measured position; process: variance and covariance of position,
     of velocity, and covariances of position with velocity along the same axis and the other, divided by `calm`.
+    All tracks go through a step together; missing positions at the end of shorter ones change nothing. A track
+    without any position stays NaN.
     """
-    seen = ~np.isnan(z).any(axis=1)
-    n = len(z)
-    if not seen.any():
-        return np.full((n, 2), np.nan)
+    seen = ~np.isnan(z).any(axis=2)
+    tracks, n = seen.shape
+    x = np.where(seen[:, :, None], z, 0.0)
+    count = seen.sum(axis=1)
     a, b, c, d, e, f = process
     move = np.array([[1, 0, 1, 0], [0, 1, 0, 1], [0, 0, 1, 0], [0, 0, 0, 1]], dtype=float)
     q = np.array([[a, b, e, f], [b, a, f, e], [e, f, c, d], [f, e, d, c]]) / calm
-    h = np.eye(2, 4)
     r = np.array([[observation[0], observation[1]], [observation[1], observation[0]]])
-    m, p = np.concatenate([z[seen].mean(axis=0), [0, 0]]), np.eye(4)
-    before_m, before_p = np.zeros((n, 4)), np.zeros((n, 4, 4))
-    after_m, after_p = np.zeros((n, 4)), np.zeros((n, 4, 4))
+    m = np.zeros((tracks, 4))
+    m[:, :2] = x.sum(axis=1) / np.maximum(count, 1)[:, None]
+    p = np.broadcast_to(np.eye(4), (tracks, 4, 4)).copy()
+    before_m, before_p = np.zeros((n, tracks, 4)), np.zeros((n, tracks, 4, 4))
+    after_m, after_p = np.zeros((n, tracks, 4)), np.zeros((n, tracks, 4, 4))
     for i in range(n):
         if i:
-            m, p = move @ m, move @ p @ move.T + q
+            m, p = m @ move.T, move @ p @ move.T + q
         before_m[i], before_p[i] = m, p
-        if seen[i]:
-            gain = p @ h.T @ np.linalg.inv(h @ p @ h.T + r)
-            m, p = m + gain @ (z[i] - h @ m), p - gain @ h @ p
+        here = seen[:, i]
+        gain = p[:, :, :2] @ np.linalg.inv(p[:, :2, :2] + r) * here[:, None, None]
+        m = m + (gain @ (x[:, i] - m[:, :2])[:, :, None])[:, :, 0]
+        p = p - gain @ p[:, :2, :]
         after_m[i], after_p[i] = m, p
     out = after_m.copy()
     for i in range(n - 2, -1, -1):
-        back = after_p[i] @ move.T @ np.linalg.pinv(before_p[i + 1])
-        out[i] = after_m[i] + back @ (out[i + 1] - before_m[i + 1])
-    return out[:, :2]
+        back = after_p[i] @ move.T @ np.linalg.inv(before_p[i + 1])
+        out[i] = after_m[i] + (back @ (out[i + 1] - before_m[i + 1])[:, :, None])[:, :, 0]
+    return np.where((count > 0)[:, None, None], out.transpose(1, 0, 2)[:, :, :2], np.nan)
 
 
-def smooth_track(z: np.ndarray, far: float = 50.0) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed track without outliers, and which rows those are: positions more than `far` from a very calm track."""
-    rough = kalman_smooth(z, calm=1e5)
-    out = np.sqrt(((z - rough) ** 2).sum(axis=1)) > far
-    return kalman_smooth(np.where(out[:, None], np.nan, z)), out
+def smooth_tracks(z: np.ndarray, far: float = 50.0) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed tracks without outliers, and which positions those are: more than `far` from a very calm track."""
+    out = np.sqrt(((z - kalman_smooth(z, calm=1e5)) ** 2).sum(axis=2)) > far
+    return kalman_smooth(np.where(out[:, :, None], np.nan, z)), out
 
 
-def smooth_marks(marks: DataFrame, keys: list[str], order: str, key: str) -> DataFrame:
-    """Tracks (keys, order, key, x, y) smoothed: keys, key, smooth_x, smooth_y, is_outlier."""
+def smooth_marks(marks: DataFrame, keys: list[str], order: str, key: str, together: int = 256) -> DataFrame:
+    """Tracks (keys, order, key, x, y) smoothed: keys, key, smooth_x, smooth_y, is_outlier. A track is held by one task."""
+    types = {f.name: f.dataType.simpleString() for f in marks.schema.fields}
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"`{key}` {types[key]}", "smooth_x double, smooth_y double, is_outlier boolean"])
+    buckets = 4 * int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([order, key], kind="stable")
-        xy, out = smooth_track(g[["x", "y"]].to_numpy(dtype=float))
-        return pd.DataFrame({key: g[key].to_numpy(), "smooth_x": xy[:, 0], "smooth_y": xy[:, 1], "is_outlier": out})
-
-    return per_group(marks.select(*keys, order, key, "x", "y"), keys, run, f"{key} long, smooth_x double, smooth_y double, is_outlier boolean")
+        g = g.sort_values([*keys, order, key], kind="stable", ignore_index=True)
+        track = g.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+        place = g.groupby(keys, dropna=False, sort=False).cumcount().to_numpy()
+        length = np.bincount(track)
+        xy, out = np.full((len(g), 2), np.nan), np.zeros(len(g), dtype=bool)
+        by_length = np.argsort(length, kind="stable")
+        turn = np.empty_like(by_length)
+        turn[by_length] = np.arange(len(by_length))  # tracks of like length are smoothed together
+        for lo in range(0, len(length), together):
+            i = np.flatnonzero((turn[track] >= lo) & (turn[track] < lo + together))
+            row = turn[track[i]] - lo
+            z = np.full((row.max() + 1, place[i].max() + 1, 2), np.nan)
+            z[row, place[i]] = g.loc[i, ["x", "y"]].to_numpy(dtype=float)
+            smooth, far = smooth_tracks(z)
+            xy[i], out[i] = smooth[row, place[i]], far[row, place[i]]
+        return g[[*keys, key]].assign(smooth_x=xy[:, 0], smooth_y=xy[:, 1], is_outlier=out)
+
+    rows = marks.select(*keys, order, key, "x", "y").withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    return rows.groupBy("__bucket").applyInPandas(run, schema)
 
 
 def robust_line(t: np.ndarray, y: np.ndarray) -> tuple[float, float]:

@@ -14,7 +14,7 @@ from ostinato.plans.notes import _SCORE, _score
 from ostinato.plans.registry import Registry
 from ostinato.plans.series import _FRAMED, _HOP, _WINDOW, _framed
 from ostinato.plans.views import H, K, M, N, P, R, path_sql, rounded
-from ostinato.session import broadcast_if_small, path_key, table
+from ostinato.session import broadcast_if_small, checkpointed, path_key, table
 
 registry = Registry()
 
@@ -110,14 +110,14 @@ def _peaks(spark: SparkSession, d: str) -> DataFrame:
 _PAIRS = "pp AS (SELECT a.rec_id, a.label, a.series_id, a.bin AS t, b.bin - a.bin AS dt, a.level AS level1, b.level AS level2 FROM pk a JOIN pk b ON a.series_id = b.series_id AND b.bin - a.bin BETWEEN 2 AND 12)"
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return sync.peak_pairs(_peaks(spark, d), ["rec_id", "label", "series_id"], "bin", 2, 12, ["level"])
+def _pairs(peaks: DataFrame) -> DataFrame:
+    return sync.peak_pairs(peaks, ["rec_id", "label", "series_id"], "bin", 2, 12, ["level"])
 
 
 @registry.query("peak_pairs", _sql("SELECT series_id, t, dt, level1, level2 FROM pp", R, H, _PEAKS, _PAIRS))
 def peak_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of peaks of a series 100 to 600 ms apart: fingerprints."""
-    return _pairs(spark, d).select("series_id", "t", "dt", "level1", "level2")
+    return _pairs(_peaks(spark, d)).select("series_id", "t", "dt", "level1", "level2")
 
 
 _MATCH = """x AS (SELECT DISTINCT rec_id, t, dt, level2 - level1 AS step FROM pp WHERE label = 'barrel_ampl'),
@@ -133,7 +133,9 @@ q AS (SELECT rec_id, CAST(sum(c) AS BIGINT) AS n_matches FROM o GROUP BY rec_id)
 )
 def fingerprint_offset_vote(spark: SparkSession, d: str) -> DataFrame:
     """Offset between the barrel's and the external microphone's series of a recording, by matching fingerprints within 2 s."""
-    f = _pairs(spark, d).withColumn("step", F.col("level2") - F.col("level1"))
+    # Peaks are few; four readers would find them again.
+    peaks = checkpointed(_peaks(spark, d).filter("label IN ('barrel_ampl', 'external_ampl')"))
+    f = _pairs(peaks).withColumn("step", F.col("level2") - F.col("level1"))
     x = f.filter("label = 'barrel_ampl'").select("rec_id", "dt", "step", "t").distinct()
     y = f.filter("label = 'external_ampl'").select("rec_id", "dt", "step", F.col("t").alias("t2")).distinct()
     # Fingerprints are matched by bucket of 2 s, each with its own and the neighbouring ones.

@@ -115,10 +115,14 @@ def test_kalman_bridges_and_drops_outliers():
     noisy = z + np.random.default_rng(0).normal(0, 0.2, z.shape)
     noisy[20:25] = np.nan
     noisy[40] = [900, 900]
-    got, out = video.smooth_track(noisy)
+    short = np.concatenate([noisy[:30], np.full((30, 2), np.nan)])
+    many, outliers = video.smooth_tracks(np.stack([noisy, short]))
+    got, out = many[0], outliers[0]
+    alone, _ = video.smooth_tracks(noisy[None, :30])
+    assert np.allclose(many[1, :30], alone[0])  # shorter tracks aren't changed by longer ones
     assert out.nonzero()[0].tolist() == [40]
     assert np.abs(got - z)[3:].max() < 2.0
-    assert np.isnan(video.kalman_smooth(np.full((3, 2), np.nan))).all()
+    assert np.isnan(video.kalman_smooth(np.full((1, 3, 2), np.nan))).all()
 
 
 def test_robust_line():
