@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ostinato.operators.grouped import per_group
+from ostinato.session import present
+
 
 def kalman_smooth(z: np.ndarray, observation=(0.05, 0.001), process=(0.15, 0.015, 0.25, 0.05, 0.1, 0.025), calm: float = 1.0) -> np.ndarray:
     """Positions (tracks, time, 2) of points moving at near constant velocity, smoothed forwards and backwards; NaN is missing.
@@ -89,6 +92,16 @@ def robust_line(t: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, float(np.median(y - slope * t))
 
 
+def robust_lines(df: DataFrame, keys: list[str], t: str, y: str) -> DataFrame:
+    """keys, slope, intercept, n of the robust line of each group of rows."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        slope, intercept = robust_line(g[t].to_numpy(dtype=float), g[y].to_numpy(dtype=float))
+        return pd.DataFrame({"slope": [slope], "intercept": [intercept], "n": [len(g)]})
+
+    return per_group(df.select(*keys, t, y).filter(present(t) & present(y)), keys, run, "slope double, intercept double, n long")
+
+
 def strip_length(area, short_side, scale_px, mm: float = 5.0):
     """Length in mm of a strip of known width: its area over its narrow side, by the scale's pixels for `mm`."""
     return F.col(area) / F.nullif(F.col(short_side), F.lit(0.0)) * mm / F.nullif(F.col(scale_px), F.lit(0.0))

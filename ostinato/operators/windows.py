@@ -38,7 +38,7 @@ def crossings(df: DataFrame, keys: Sequence[str], order: Sequence[str], v: str,
     return x.withColumn("direction", F.when(up, "up").when(down, "down")).filter("direction IS NOT NULL").drop("__b")
 
 
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], active: Column, min_gap: int = 1, width: float = blocks.ROWS) -> DataFrame:
+def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], active: Column, min_gap: int | Column = 1, width: float = blocks.ROWS) -> DataFrame:
     """Regions of active rows; inactive rows between two of them split them only if there are at least min_gap.
 
     first and last row (columns first_*, last_* for the order columns), n_active, island numbered from 1.

@@ -360,3 +360,23 @@ def detune_of_takes(spark: SparkSession, d: str) -> DataFrame:
 def subject_percentiles(spark: SparkSession, d: str) -> DataFrame:
     x = stats.percentiles(views.notes(spark, d).filter("f0 IS NOT NULL"), ["subject_id"], "f0", (0.05, 0.5, 0.95))
     return rounded(x, 8, "p05", "p50", "p95")
+
+
+@registry.query("robust_lines")
+def robust_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Width of each marker over the time of its video as a line that half of its detections agree with."""
+    m = views.marks(spark, d).filter("marker_id IS NOT NULL").select("video", "marker_id", "msec", F.col("w").cast("double").alias("w"))
+    return rounded(video.robust_lines(m, ["video", "marker_id"], "msec", "w"), 6, "slope", "intercept")
+
+
+@registry.query(
+    "marker_counts",
+    _sql("SELECT video, count(*) AS n, count(DISTINCT marker_id) AS n_markers, count(*) FILTER (marker_id IS NULL) AS n_unknown, count(*) FILTER (source = 'template') AS n_template, round(CAST(sum(CAST(template_val AS DECIMAL(28, 6))) AS DOUBLE) / count(template_val), 8) AS mean_template FROM m GROUP BY video", M),
+)
+def marker_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What was detected in each video."""
+    m = views.marks(spark, d)
+    x = m.groupBy("video").agg(
+        F.count("*").alias("n"), F.countDistinct("marker_id").alias("n_markers"), F.count_if(F.col("marker_id").isNull()).alias("n_unknown"), F.count_if(F.col("source") == "template").alias("n_template"), exprs.exact_avg("template_val").alias("mean_template")
+    )
+    return rounded(x, 8, "mean_template")

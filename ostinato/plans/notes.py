@@ -488,3 +488,65 @@ def corpus_intervals(spark: SparkSession, d: str) -> DataFrame:
     k = _outer(spark, d).join(views.takes(spark, d).select("ver_id", F.col("ver_nbr").alias("clip")), "ver_id")
     x = intervals.midpoint_join(n, k, ["file"], how="left")
     return x.select("file", "clip", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), exprs.sharps("note_label").alias("label"))
+
+
+@registry.query(
+    "light_note_list",
+    _sql("""SELECT x.note_key, count(*) AS n, round(quantile_cont(p.v, 0.5), 8) AS ampl, round(quantile_cont(p.v, 0.75) - quantile_cont(p.v, 0.25), 8) AS ampl_var,
+  round((min(p.t) FILTER (p.v = m.hi) - x."start") / (x."end" - x."start"), 6) AS rel_max_t,
+  """ + ", ".join(f"round(quantile_cont(p.v, 0.5) FILTER ({_THIRD} = {i}), 8) AS aseg{i - 1}" for i in (1, 2, 3)) + """
+FROM n x JOIN p ON p.file = x.file AND p.t BETWEEN x."start" AND x."end" AND p.label = 'barrel_ampl'
+JOIN (SELECT y.note_key, max(p.v) AS hi FROM n y JOIN p ON p.file = y.file AND p.t BETWEEN y."start" AND y."end" AND p.label = 'barrel_ampl' GROUP BY ALL) m ON m.note_key = x.note_key
+WHERE x."end" > x."start" GROUP BY x.note_key, x."start", x."end" """, P, N),
+)
+def light_note_list(spark: SparkSession, d: str) -> DataFrame:
+    """Level of each note: median and interquartile range, where its maximum lies, medians of its thirds."""
+    p = views.points(spark, d).filter("label = 'barrel_ampl'").select("file", "t", "v")
+    n = views.notes(spark, d).filter(F.col("end") > F.col("start")).select("note_key", "file", "start", "end")
+    j = intervals.interval_join(p, n, ["file"]).withColumn("third", stats.third_of("t", "start", "end"))
+    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    g = j.groupBy("note_key", "start", "end").agg(
+        F.count("*").alias("n"), q.alias("q"), (-F.max(F.struct("v", (-F.col("t")).alias("t")))["t"]).alias("max_t"),
+        *[F.percentile(F.when(F.col("third") == i, F.col("v")), 0.5).alias(f"aseg{i - 1}") for i in (1, 2, 3)],
+    )
+    x = g.select("note_key", "n", F.col("q")[1].alias("ampl"), (F.col("q")[2] - F.col("q")[0]).alias("ampl_var"), ((F.col("max_t") - F.col("start")) / (F.col("end") - F.col("start"))).alias("rel_max_t"), "aseg0", "aseg1", "aseg2")
+    return rounded(rounded(x, 8, "ampl", "ampl_var", "aseg0", "aseg1", "aseg2"), 6, "rel_max_t")
+
+
+@registry.query(
+    "first_note_of_take",
+    _sql('SELECT file, ver_nbr, note_key, pitch FROM (SELECT file, ver_nbr, note_key, nullif(' + _PITCH + ", '') AS pitch, row_number() OVER (PARTITION BY file, ver_nbr ORDER BY \"start\", note_key) AS i FROM n) WHERE i = 1", N),
+)
+def first_note_of_take(spark: SparkSession, d: str) -> DataFrame:
+    n = views.notes(spark, d).withColumn("pitch", F.nullif(F.regexp_extract("note_label", r"-\s*([A-G]#?\d)\s*$", 1), F.lit("")))
+    g = n.groupBy("file", "ver_nbr").agg(F.min(F.struct("start", "note_key", "pitch")).alias("m"))
+    return g.select("file", "ver_nbr", "m.note_key", "m.pitch")
+
+
+@registry.query(
+    "tongue_events",
+    _sql("""SELECT q.note_key, e.t AS release_t, round(q."start" - e.t, 6) AS lead FROM n q ASOF JOIN e ON e.file = q.file AND e.t <= q."start" WHERE q."start" - e.t <= 0.5""",
+         P, N, """e AS (SELECT file, t FROM (SELECT file, t, v, lag(v) OVER (PARTITION BY series_id ORDER BY frame_idx) AS b FROM p WHERE label = 'tongue_contact') WHERE b = 1 AND v = 0 GROUP BY ALL)"""),
+)
+def tongue_events(spark: SparkSession, d: str) -> DataFrame:
+    """The last release of the tongue in the half second before each note."""
+    p = views.points(spark, d).filter("label = 'tongue_contact'").select("series_id", "frame_idx", "file", "t", "v")
+    x = windows.before(p, ["series_id"], ["frame_idx"], "v", "before")
+    e = x.filter("before = 1 AND v = 0").select("file", F.col("t").alias("mark_t"), F.lit(0).alias("event")).distinct()
+    n = views.notes(spark, d).select("note_key", "file", F.col("start").alias("t"))
+    j = intervals.asof(n, e, ["file"], ["event"])
+    lead = F.col("t") - F.col("mark_t")
+    return rounded(j.filter(lead <= 0.5).select("note_key", F.col("mark_t").alias("release_t"), lead.alias("lead")), 6, "lead")
+
+
+@registry.query(
+    "frame_table",
+    _sql("""SELECT f.series_id, f.frame_idx, f.t, f.v AS f0, CAST(round_even(69 + 12 * log2(f.v / 440), 0) AS INT) AS midi, max_by(n.note_id, (n."start", n.note_key)) AS note_id
+FROM p f LEFT JOIN n ON n.file = f.file AND f.t BETWEEN n."start" AND n."end" WHERE f.label = 'external_f0' AND f.v > 0 GROUP BY ALL""", P, N),
+)
+def frame_table(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of the external microphone's frequency with MIDI number and note."""
+    p = views.points(spark, d).filter("label = 'external_f0' AND v > 0").select("series_id", "frame_idx", "file", "t", "v")
+    n = views.notes(spark, d).select("file", "start", "end", F.struct("start", "note_key").alias("place"), "note_id")
+    x = intervals.last_wins(p, n, ["file"], ["series_id", "frame_idx", "t", "v"], "place", ["note_id"])
+    return x.select("series_id", "frame_idx", "t", F.col("v").alias("f0"), exprs.hz_to_midi("v").alias("midi"), "note_id")
