@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ostinato.session import broadcast_if_small, present
 
 BLOCK = 4096
+#: Added to the cell that ends a block, to tell it from a cell with readings.
+SENTINEL = 1 << 40
 
 
 def _headers(series: DataFrame) -> DataFrame:
@@ -106,51 +108,64 @@ def counter_grid(readings: DataFrame, series: DataFrame, max_gap: float = 8.0, b
     same time, frame_idx decides the order. Intervals of more than max_gap cells leave their cells uncovered.
     """
     headers = _headers(series)
-    r = (
-        _placed(readings, headers, margin=int(max_gap) + 1)
-        .withColumn("block", F.floor(F.col("cell") / block))
-        .groupBy("series_id", "block", "frame_idx")
-        .agg(F.first("pos").alias("pos"), F.first("v").alias("v"), F.first("n_slots").alias("n_slots"))
+    r = _placed(readings, headers, margin=int(max_gap) + 1).select("series_id", F.floor(F.col("cell") / block).alias("block"), F.lit(False).alias("is_end"), "frame_idx", "pos", "v", "n_slots")
+    ends = _markers(headers, block).select(
+        "series_id", "block", F.lit(True).alias("is_end"), F.lit(None).cast(r.schema["frame_idx"].dataType).alias("frame_idx"), F.col("cell").cast("double").alias("pos"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("long").alias("n_slots")
+    )
+    # The only shuffle of the readings: all that follows keeps them by series and block.
+    rows = (
+        r.unionByName(ends)
+        .repartition("series_id", "block")
+        .groupBy("series_id", "block", "is_end", "frame_idx")
+        .agg(F.first("pos").alias("pos"), F.first("v").alias("v"))
     )
-    w = Window.partitionBy("series_id", "block").orderBy("pos", "frame_idx")
-    mine = F.struct("pos", "frame_idx", "v")
-    r = r.withColumn("before", F.lag(mine).over(w))
-    # The first reading of a block follows the last one of the nearest earlier block that has any.
-    edges = r.groupBy("series_id", "block").agg(F.max(mine).alias("edge"))
-    edges = edges.withColumn("edge", F.lag("edge").over(Window.partitionBy("series_id").orderBy("block")))
-    pairs = (
-        r.join(edges, ["series_id", "block"])
-        .withColumn("before", F.coalesce("before", "edge"))
-        .filter("before IS NOT NULL")
-        .select(
-            "series_id",
-            "n_slots",
-            F.col("before.pos").alias("a"),
-            F.col("pos").alias("b"),
-            F.when(F.col("v") >= F.col("before.v"), F.col("v") - F.col("before.v")).otherwise(F.col("v")).alias("delta"),
-            (F.col("v") < F.col("before.v")).cast("int").alias("reset"),
-        )
-        .filter(F.col("b") - F.col("a") <= max_gap)
+    mine = F.when(~F.col("is_end"), F.struct("pos", "frame_idx", "v"))
+    # What lies across the edges of a block: the last reading before it and the first one after it.
+    by_block = Window.partitionBy("series_id").orderBy("block")
+    edges = rows.groupBy("series_id", "block").agg(F.min(mine).alias("first"), F.max(mine).alias("last")).select(
+        "series_id",
+        "block",
+        F.last("last", ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, -1)).alias("prior"),
+        F.first("first", ignorenulls=True).over(by_block.rowsBetween(1, Window.unboundedFollowing)).alias("next"),
     )
-    cell = F.col("cell")
-    share = F.when(F.col("b") > F.col("a"), (F.least("b", cell + 1) - F.greatest("a", cell)) / (F.col("b") - F.col("a"))).otherwise(1.0)
-    shared = (
-        pairs.withColumn("cell", F.explode(F.sequence(F.floor("a"), F.floor("b"))))
-        .filter((cell >= 0) & (cell < F.col("n_slots")))
-        .select(
-            "series_id",
-            "cell",
-            (F.col("delta") * share).alias("increment"),
-            F.when(cell == F.floor("b"), F.col("reset")).otherwise(0).alias("reset"),
-            F.when(F.col("b") > F.col("a"), F.least("b", cell + 1) - F.greatest("a", cell)).otherwise(0.0).alias("covered"),
-        )
-    )
-    cells = headers.select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1)).alias("cell")).select(
-        "*", F.lit(None).cast("double").alias("increment"), F.lit(0).alias("reset"), F.lit(0.0).alias("covered")
-    )
-    return (
-        shared.unionByName(cells)
-        .groupBy("series_id", "cell")
-        .agg(F.sum("increment").alias("increment"), F.sum("reset").alias("n_resets"), F.least(F.sum("covered"), F.lit(1.0)).alias("covered"))
-        .select("series_id", F.col("cell").cast("int").alias("slot"), "increment", "n_resets", "covered")
+    w = Window.partitionBy("series_id", "block").orderBy("is_end", "pos", "frame_idx")
+    x = rows.withColumn("lag", F.lag(mine).over(w)).join(edges, ["series_id", "block"])
+    # A reading closes the interval from the one before it; the end of a block opens the one to the next block's first reading.
+    x = x.select(
+        "series_id", "block", "is_end", F.col("pos").alias("at"),
+        F.coalesce("lag", "prior").alias("a"),
+        F.when(F.col("is_end"), F.col("next")).otherwise(F.struct("pos", "frame_idx", "v")).alias("b"),
+    )
+    a, b, cell = F.col("a.pos"), F.col("b.pos"), F.col("cell")
+    shared = F.col("a").isNotNull() & F.col("b").isNotNull() & (b - a <= max_gap)
+    first, last = F.greatest(F.floor(a), F.col("block") * block), F.least(F.floor(b), (F.col("block") + 1) * block - 1)
+    none = F.array().cast("array<bigint>")
+    cells = F.when(shared & (first <= last), F.sequence(first, last)).otherwise(none)
+    end = F.when(F.col("is_end"), F.array(F.col("at").cast("long") + F.lit(SENTINEL))).otherwise(none)
+    size = F.when(b > a, F.least(b, cell + 1) - F.greatest(a, cell)).otherwise(0.0)
+    share = F.when(b > a, size / (b - a)).otherwise(1.0)
+    reset = F.col("b.v") < F.col("a.v")
+    real = cell < SENTINEL
+    parts = x.withColumn("cell", F.explode(F.concat(cells, end))).select(
+        "series_id", "block",
+        F.when(real, cell).otherwise(cell - SENTINEL).alias("cell"),
+        F.when(real, F.when(reset, F.col("b.v")).otherwise(F.col("b.v") - F.col("a.v")) * share).alias("increment"),
+        (real & reset & (cell == F.floor(b)) & ~F.col("is_end")).cast("int").alias("reset"),
+        F.when(real, size).otherwise(0.0).alias("covered"),
+        (~real).alias("is_end"),
+    )
+    summed = parts.groupBy("series_id", "block", "cell", "is_end").agg(F.sum("increment").alias("increment"), F.sum("reset").alias("n_resets"), F.least(F.sum("covered"), F.lit(1.0)).alias("covered"))
+    # Cells between those that hold anything, and up to the end of the block, are uncovered.
+    in_block = Window.partitionBy("series_id", "block").orderBy("cell", "is_end")
+    up_to = F.max(F.when(F.col("is_end"), cell)).over(Window.partitionBy("series_id", "block"))
+    start = F.greatest(F.coalesce(F.lag("cell").over(in_block), F.col("block") * block - 1) + 1, F.lit(0))
+    y = summed.select("*", start.alias("start"), up_to.alias("up_to")).filter((cell <= F.col("up_to")) & (F.col("start") <= cell))
+    y = y.withColumn("slot", F.explode(F.sequence("start", "cell"))).filter(F.col("slot") < F.col("up_to"))
+    own = (F.col("slot") == cell) & ~F.col("is_end")
+    return y.select(
+        "series_id",
+        F.col("slot").cast("int").alias("slot"),
+        F.when(own, F.col("increment")).alias("increment"),
+        F.when(own, F.col("n_resets")).otherwise(0).cast("long").alias("n_resets"),
+        F.when(own, F.col("covered")).otherwise(0.0).alias("covered"),
     )
