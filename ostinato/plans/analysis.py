@@ -362,7 +362,13 @@ def subject_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(x, 8, "p05", "p50", "p95")
 
 
-@registry.query("robust_lines")
+@registry.query(
+    "robust_lines",
+    _sql("""SELECT a.video, a.marker_id, round(coalesce(s.slope, 0), 6) AS slope, round(quantile_cont(a.w - coalesce(s.slope, 0) * a.msec, 0.5), 6) AS intercept, count(*) AS n FROM m a
+LEFT JOIN (SELECT x.video, x.marker_id, quantile_cont((y.w - x.w) / (y.msec - x.msec), 0.5) AS slope FROM m x JOIN m y ON x.video = y.video AND x.marker_id = y.marker_id AND x.mark_id < y.mark_id AND x.msec <> y.msec GROUP BY ALL) s
+  ON s.video = a.video AND s.marker_id = a.marker_id
+WHERE a.marker_id IS NOT NULL GROUP BY a.video, a.marker_id, s.slope""", M),
+)
 def robust_lines(spark: SparkSession, d: str) -> DataFrame:
     """Width of each marker over the time of its video as a line that half of its detections agree with."""
     m = views.marks(spark, d).filter("marker_id IS NOT NULL").select("video", "marker_id", "msec", F.col("w").cast("double").alias("w"))

@@ -53,7 +53,27 @@ def p1_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumns({"t": F.round("t", 6), "v": F.round("v", 8)})
 
 
-@registry.query("p1_counter")
+@registry.query(
+    "p1_counter",
+    """
+WITH h AS (SELECT series_id, t0, dt, n_slots FROM series),
+once AS (
+  SELECT DISTINCT r.series_id, r.frame_idx, CAST(r.frame_idx AS DOUBLE) AS v, (r.t - h.t0) / h.dt + 0.5 AS pos, h.n_slots
+  FROM readings r JOIN h ON r.series_id = h.series_id WHERE r.t IS NOT NULL AND NOT isnan(r.t)
+), pairs AS (
+  SELECT series_id, n_slots, pos AS b, v, lag(pos) OVER w AS a, lag(v) OVER w AS u FROM once WHERE pos >= -9 AND pos < n_slots + 9
+  WINDOW w AS (PARTITION BY series_id ORDER BY pos, frame_idx)
+), cells AS (
+  SELECT *, unnest(range(CAST(greatest(floor(a), 0) AS BIGINT), CAST(least(floor(b), n_slots - 1) AS BIGINT) + 1)) AS k FROM pairs WHERE b - a <= 8
+), sums AS (
+  SELECT series_id, k, sum(CASE WHEN v < u THEN v ELSE v - u END * CASE WHEN b > a THEN (least(b, k + 1) - greatest(a, k)) / (b - a) ELSE 1 END) AS increment,
+    count(*) FILTER (v < u AND k = floor(b)) AS n_resets, least(sum(CASE WHEN b > a THEN least(b, k + 1) - greatest(a, k) ELSE 0 END), 1.0) AS covered
+  FROM cells GROUP BY ALL
+), slots AS (SELECT series_id, CAST(unnest(range(n_slots)) AS INT) AS slot FROM h)
+SELECT s.series_id, s.slot, round(x.increment, 6) AS increment, coalesce(x.n_resets, 0) AS n_resets, round(CAST(coalesce(x.covered, 0) AS DOUBLE), 6) AS covered
+FROM slots s LEFT JOIN sums x ON x.series_id = s.series_id AND x.k = s.slot
+""",
+)
 def p1_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames that fall to each slot: the frame number of the readings is a cumulative counter."""
     r = table(spark, sf_dir, "readings").withColumn("v", F.col("frame_idx").cast("double"))
