@@ -14,7 +14,8 @@ from ostinato.plans.notes import _SCORE, _score
 from ostinato.plans.registry import Registry
 from ostinato.plans.series import _FRAMED, _HOP, _WINDOW, _framed
 from ostinato.plans.views import H, K, M, N, P, R, path_sql, rounded
-from ostinato.session import broadcast_if_small, checkpointed, path_key, table
+from ostinato.session import broadcast_if_small, checkpointed, path_key, shared_folder, table
+from ostinato.streaming.regions import drained, session_regions
 
 registry = Registry()
 
@@ -386,3 +387,21 @@ def marker_counts(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("n"), F.countDistinct("marker_id").alias("n_markers"), F.count_if(F.col("marker_id").isNull()).alias("n_unknown"), F.count_if(F.col("source") == "template").alias("n_template"), exprs.exact_avg("template_val").alias("mean_template")
     )
     return rounded(x, 8, "mean_template")
+
+
+@registry.query(
+    "session_regions_stream",
+    f"""WITH x AS (SELECT {path_sql('video_file')} AS video, msec FROM video_marks WHERE msec IS NOT NULL),
+y AS (SELECT *, CASE WHEN msec - lag(msec) OVER (PARTITION BY video ORDER BY msec) < 2000 THEN 0 ELSE 1 END AS new FROM x),
+z AS (SELECT *, sum(new) OVER (PARTITION BY video ORDER BY msec) AS region FROM y)
+SELECT video, round(min(msec), 2) AS first_msec, round(max(msec) + 2000, 2) AS end_msec, count(*) AS n FROM z GROUP BY video, region""",
+)
+def session_regions_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of detections of each video, as a stream of the table's files with session windows of two seconds."""
+    path = f"{d}/video_marks.parquet"
+    # A pattern, as a stream's source: the table may be a file or a folder of files.
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/video_marks.parque[t]")
+    x = source.filter(F.col("msec").isNotNull()).select(path_key("video_file").alias("video"), F.timestamp_micros(F.rint(F.col("msec") * 1000).cast("long")).alias("ts"))
+    regions = drained(session_regions(x, "ts", "video", "2 seconds"), shared_folder(spark, "regions"), "complete")
+    msec = lambda c: F.round(F.unix_micros(c) / 1000, 2)
+    return regions.select("video", msec("start").alias("first_msec"), msec("end").alias("end_msec"), "n")

@@ -73,3 +73,18 @@ def forgetting_tracker(df: DataFrame, key: str, seconds: str, v: str, forget: fl
     return df.groupBy(key).applyInPandasWithState(
         step, f"`{key}` {kinds[key]}, `{seconds}` double, `{v}` double, held boolean", "last double, seen double", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def drained(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that a stream gives for what its source holds now, written to and read back from `folder`, which all executors share.
+
+    The state and the progress are kept there as well: run again, only what is new in the source is read.
+    mode complete replaces the result, append adds to it.
+    """
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/result")
+
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").foreachBatch(put).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/result")
