@@ -32,6 +32,7 @@ HALO = 256  # no cutoff for still stretches is longer
 ROWS_A_BUCKET = 60_000
 FLANK = 4
 MOST_SPIKE = 3
+REACH = FLANK + MOST_SPIKE + 1
 RISK = 1e-5
 CENSOR = 5.0  # beyond it, residuals may be faults and are only counted as "more than this"
 LEAST_CUT, MOST_CUT = 5.0, 14.0
@@ -48,15 +49,13 @@ def _windows(x: np.ndarray, pad, width: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([side, x, side]), width)
 
 
-def residuals(v: np.ndarray, t: np.ndarray, seg: np.ndarray, floor: np.ndarray, still: np.ndarray) -> np.ndarray:
+def residuals(v: np.ndarray, t: np.ndarray, seg: np.ndarray, floor: np.ndarray, still: np.ndarray, pace: np.ndarray) -> np.ndarray:
     """Residual of each value of consecutive segments, in units of local scatter (floor: the least of it).
 
-    Steps between values of a still stretch say nothing about scatter.
+    Steps between values of a still stretch say nothing about scatter. pace: usual time from reading to reading.
     """
     best = np.zeros(len(v))
     with np.errstate(all="ignore"):
-        step = np.diff(t)
-        usual = np.median(step[(step > 0) & (seg[1:] == seg[:-1])]) if (step > 0).any() else 1.0
         for m in range(1, MOST_SPIKE + 1):
             if len(v) < m + 2:
                 break
@@ -79,7 +78,7 @@ def residuals(v: np.ndarray, t: np.ndarray, seg: np.ndarray, floor: np.ndarray,
             largest = np.fmax(np.fmax.reduce(db[:, -2:], axis=1), np.fmax.reduce(da[:, :2], axis=1))
             scatter = np.fmax(np.fmax((middle + upper) / 2, 0.5 * largest), floor[: len(out)])
             around = np.diff(times[:, FLANK - 1 : FLANK + m + 1], axis=1)
-            z = out / scatter * np.where(np.fmax.reduce(np.abs(around), axis=1) > 5 * usual, 0.5, 1.0)
+            z = out / scatter * np.where(np.fmax.reduce(np.abs(around), axis=1) > 5 * pace[: len(out)], 0.5, 1.0)
             z = np.where(same[:, FLANK - 1] & same[:, FLANK + m] & same[:, FLANK : FLANK + m].all(axis=1) & np.isfinite(z), z, 0.0)
             for j in range(m):
                 np.maximum(best[j : j + len(z)], z, out=best[j : j + len(z)])
@@ -95,6 +94,12 @@ def stretches(v: np.ndarray, seg: np.ndarray, least_step: np.ndarray) -> tuple[n
     return start, np.bincount(start, minlength=n)[start]
 
 
+def _widened(mask: np.ndarray, reach: int) -> np.ndarray:
+    """mask, and `reach` places on either side of what it holds."""
+    ends = np.cumsum(np.concatenate([[0] * (reach + 1), mask.astype(np.int64), [0] * reach]))
+    return (ends[2 * reach + 1 :] - ends[: -2 * reach - 1]) > 0
+
+
 def _usual_step(v: np.ndarray, seg: np.ndarray) -> np.ndarray:
     """Median of the steps other than zero of the segment, for each value."""
     d = pd.Series(np.abs(np.diff(v, prepend=np.nan)))
@@ -118,16 +123,25 @@ def score_bucket(data: pa.Table) -> pa.Table:
         new = np.ones(len(g), dtype=bool)
         new[1:] = (np.diff(g["series_id"].to_numpy()) != 0) | (np.diff(g["block"].to_numpy()) != 0)
         seg = np.cumsum(new)
-        usual = _usual_step(v, seg)
+        usual, pace = _usual_step(v, seg), _usual_step(t, seg)
         z, keep = np.zeros(len(g)), np.ones(len(g), dtype=bool)
+        near = np.ones(len(g), dtype=bool)
         for _ in range(3):
             i = np.flatnonzero(keep)
             still = stretches(v[i], seg[i], STILL * usual[i])[1] >= LEAST_STILL
-            now = residuals(v[i], t[i], seg[i], 0.7 * usual[i] + 1e-12, still)
-            z[i] = np.maximum(z[i], now)
-            if not (far := i[now > ROUGH_CUT]).size:
+            # After the first time only the surroundings of what was taken out are scored again, with as much around them as a score looks at.
+            at = np.flatnonzero(_widened(near[i], REACH))
+            part = np.cumsum(np.diff(at, prepend=-2) > 1) + seg[i][at] * len(g)
+            now = residuals(v[i][at], t[i][at], part, 0.7 * usual[i][at] + 1e-12, still[at], pace[i][at])
+            now[~near[i][at]] = 0.0
+            at = i[at]
+            z[at] = np.maximum(z[at], now)
+            if not (far := at[now > ROUGH_CUT]).size:
                 break
+            near = np.zeros(len(g), dtype=bool)
+            near[far] = True
             keep[far] = False
+            near[i] = _widened(near[i], REACH)
         facts.append(_rows("spike", g[core & (z >= LEAST_CUT)], z[core & (z >= LEAST_CUT)]))
         label = g["label"]
         bins = (np.minimum(z, CENSOR) / BIN).astype(np.int64)
