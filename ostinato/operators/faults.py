@@ -32,6 +32,7 @@ HALO = 256  # no cutoff for still stretches is longer
 ROWS_A_BUCKET = 60_000
 FLANK = 4
 MOST_SPIKE = 3
+HOLE = 3.5  # usual steps without a reading that make a hole
 REACH = FLANK + MOST_SPIKE + 1
 RISK = 1e-5
 CENSOR = 5.0  # beyond it, residuals may be faults and are only counted as "more than this"
@@ -78,7 +79,7 @@ def residuals(v: np.ndarray, t: np.ndarray, seg: np.ndarray, floor: np.ndarray,
             largest = np.fmax(np.fmax.reduce(db[:, -2:], axis=1), np.fmax.reduce(da[:, :2], axis=1))
             scatter = np.fmax(np.fmax((middle + upper) / 2, 0.5 * largest), floor[: len(out)])
             around = np.diff(times[:, FLANK - 1 : FLANK + m + 1], axis=1)
-            z = out / scatter * np.where(np.fmax.reduce(np.abs(around), axis=1) > 5 * pace[: len(out)], 0.5, 1.0)
+            z = out / scatter * np.where(np.fmax.reduce(np.abs(around), axis=1) > HOLE * pace[: len(out)], 0.5, 1.0)
             z = np.where(same[:, FLANK - 1] & same[:, FLANK + m] & same[:, FLANK : FLANK + m].all(axis=1) & np.isfinite(z), z, 0.0)
             for j in range(m):
                 np.maximum(best[j : j + len(z)], z, out=best[j : j + len(z)])
