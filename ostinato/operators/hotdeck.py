@@ -140,7 +140,8 @@ def hot_deck(df: DataFrame, key: str, plan: Plan) -> DataFrame:
             )
         )
     no_numbers, no_categories = F.array().cast("array<double>"), F.array().cast("array<long>")
-    records = (
+    # Written once: it is read for the counts, the donors and the records that lack a value.
+    base = checkpointed(
         df.filter(F.col(key).isNotNull())
         .dropDuplicates([key])
         .select(
@@ -148,10 +149,10 @@ def hot_deck(df: DataFrame, key: str, plan: Plan) -> DataFrame:
             (F.array(*[(F.col(n) / scale[n]).cast("double") for n in plan.numbers]) if plan.numbers else no_numbers).alias("numbers"),
             (F.array(*[F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c)) for c in plan.categories]) if plan.categories else no_categories).alias("categories"),
             rank.alias("rank"),
-            F.explode(F.array(*values)).alias("x"),
+            F.array(*values).alias("values"),
         )
-        .select("key", "numbers", "categories", "rank", "x.*")
     )
+    records = base.select("key", "numbers", "categories", "rank", F.explode("values").alias("x")).select("key", "numbers", "categories", "rank", "x.*")
     by_level = records.select("*", F.explode("levels").alias("at")).select(
         "key", "numbers", "categories", "rank", "field", "number", "category", "donor", "at.level", "at.hash"
     )
