@@ -2,9 +2,9 @@
 
 Each field names levels of observed columns, from the most specific to none at all. Records are hashed by
 the columns of a level; a record that lacks the value goes to the first level at which at least K donors
-agree with it (else the first with any). A block of more than BLOCK_ROWS donors is hashed further, by the
-rank of an observed numeric feature and, past RANKS parts, by key. Within its block the K closest donors
-are found by a mixed distance: numeric features in units of their interquartile range (a missing one
+agree with it (else the first with any). A block of more than BLOCK_ROWS donors is searched in parts, to spread
+the work: a recipient goes to every part, and of the K closest of each part the K closest of all are kept, so the
+result is that of the whole block. Within its block the K closest donors are found by a mixed distance: numeric features in units of their interquartile range (a missing one
 counts FAR), 1 for each categorical feature that differs or is missing. Numbers take the median of the
 donors weighted by closeness, categories the weighted majority; ties go to the smaller key or value.
 
@@ -14,7 +14,7 @@ and n_donors is 0. An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,6 +31,8 @@ RANKS = 256
 ROWS_A_BUCKET = 50_000
 FAR = 2.0
 FILLED = "key long, field string, number double, category string, level int, n_donors int, donors array<long>"
+NEAREST = "key long, field string, level int, near array<struct<distance:double,donor:long,number:double,category:string>>"
+_NEAR = pa.struct([("distance", pa.float64()), ("donor", pa.int64()), ("number", pa.float64()), ("category", pa.string())])
 
 
 @dataclass(frozen=True)
@@ -50,16 +52,27 @@ class Plan:
     rank_by: str | None = None
 
 
-def _closest(distance: np.ndarray, n: int) -> np.ndarray:
-    return np.argsort(distance, axis=1, kind="stable")[:, :n]
+def _closest(distance: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the n smallest of each row, ascending; of equal ones the first."""
+    if distance.shape[1] > n:
+        held = distance <= np.partition(distance, n - 1, axis=1)[:, n - 1, None]
+    else:
+        held = np.ones(distance.shape, dtype=bool)
+    row, column = np.nonzero(held)
+    by = np.lexsort((column, distance[row, column], row))
+    row, column = row[by], column[by]
+    first = np.searchsorted(row, np.arange(len(distance)))
+    kept = np.arange(len(row)) - first[row] < n
+    return row[kept], column[kept]
 
 
-def _fill_block(ask: pd.DataFrame, give: pd.DataFrame, numbers: int, categories: int) -> dict:
+def _search_part(ask: pd.DataFrame, give: pd.DataFrame, numbers: int, categories: int) -> pa.ListArray:
+    """For each recipient the K closest donors of a part of a block, or as many as there are."""
     give = give.sort_values("key", kind="stable")
     gn, an = np.stack(give["numbers"]).astype(float), np.stack(ask["numbers"]).astype(float)
     gc, ac = np.stack(give["categories"]), np.stack(ask["categories"])
-    keys, number, category = give["key"].to_numpy(), give["number"].to_numpy(), give["category"].to_numpy(dtype=object)
-    out = {"number": [], "category": [], "donors": []}
+    keys, number, category = give["key"].to_numpy(), give["number"].to_numpy(dtype=float), give["category"].to_numpy(dtype=object)
+    rows, places, far = [], [], []
     for lo in range(0, len(ask), 256):
         a, c = an[lo : lo + 256], ac[lo : lo + 256]
         d = np.zeros((len(a), len(give)))
@@ -68,43 +81,56 @@ def _fill_block(ask: pd.DataFrame, give: pd.DataFrame, numbers: int, categories:
             d += np.where(np.isnan(step), FAR, np.minimum(step, 4 * FAR))
         for j in range(categories):
             d += (c[:, j, None] != gc[None, :, j]) | (c[:, j, None] == 0)
-        near = _closest(d, K)
-        weight = 1.0 / (np.take_along_axis(d, near, axis=1) + 0.05)
-        out["donors"].extend(keys[near])
-        values = number[near]
-        if not np.isnan(values).all():
-            by = np.argsort(values, axis=1, kind="stable")
-            upto = np.cumsum(np.take_along_axis(weight, by, axis=1), axis=1)
-            middle = (upto >= upto[:, -1:] / 2).argmax(axis=1)
-            out["number"].extend(np.take_along_axis(values, by, axis=1)[np.arange(len(a)), middle].tolist())
-            out["category"].extend([None] * len(a))
-        else:
-            kinds, which = np.unique(category.astype(str), return_inverse=True)
-            votes = np.zeros((len(a), len(kinds)))
-            np.add.at(votes, (np.arange(len(a))[:, None], which[near]), weight)
-            out["number"].extend([None] * len(a))
-            out["category"].extend(kinds[votes.argmax(axis=1)].tolist())
-    return out
-
-
-def _filler(numbers: int, categories: int):
-    schema = pa.schema([("key", pa.int64()), ("field", pa.string()), ("number", pa.float64()), ("category", pa.string()), ("level", pa.int32()), ("n_donors", pa.int32()), ("donors", pa.list_(pa.int64()))])
+        row, at = _closest(d, K)
+        rows.append(row + lo)
+        places.append(at)
+        far.append(d[row, at])
+    at = np.concatenate(places)
+    offsets = np.searchsorted(np.concatenate(rows), np.arange(len(ask) + 1))
+    columns = [np.concatenate(far), keys[at], number[at], category[at]]
+    near = pa.StructArray.from_arrays([pa.array(x, f.type, from_pandas=True) for x, f in zip(columns, _NEAR, strict=True)], fields=list(_NEAR))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), near)
+
 
-    def fill(data: pa.Table) -> pa.Table:
+def _searcher(numbers: int, categories: int):
+    schema = pa.schema([("key", pa.int64()), ("field", pa.string()), ("level", pa.int32()), ("near", pa.list_(_NEAR))])
+
+    def search(data: pa.Table) -> pa.Table:
         parts = [schema.empty_table()]
-        for (name, level, _, _), g in data.to_pandas().groupby(["field", "level", "hash", "part"], sort=False, dropna=False):
+        for (name, level, *_), g in data.to_pandas().groupby(["field", "level", "hash", "part"], sort=False, dropna=False):
             ask, give = g[~g["donor"]], g[g["donor"]]
             if ask.empty:
                 continue
-            if give.empty:
-                got = {"number": [None] * len(ask), "category": [None] * len(ask), "donors": [[]] * len(ask)}
-            else:
-                got = _fill_block(ask, give, numbers, categories)
-            rows = pd.DataFrame(got | {"key": ask["key"].to_numpy(), "field": name, "level": level, "n_donors": [len(x) for x in got["donors"]]})
-            parts.append(pa.Table.from_pandas(rows, schema=schema, preserve_index=False))
+            n = len(ask)
+            near = pa.array([[]] * n, pa.list_(_NEAR)) if give.empty else _search_part(ask, give, numbers, categories)
+            parts.append(pa.table([pa.array(ask["key"].to_numpy()), pa.array([name] * n), pa.array(np.full(n, level, dtype=np.int32)), near], schema=schema))
         return pa.concat_tables(parts)
 
-    return fill
+    return search
+
+
+def _filled(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The value of each recipient (key, field, level, near) from its donors."""
+    schema = pa.schema([("key", pa.int64()), ("field", pa.string()), ("number", pa.float64()), ("category", pa.string()), ("level", pa.int32()), ("n_donors", pa.int32()), ("donors", pa.list_(pa.int64()))])
+    for batch in data:
+        number, category, donors = [], [], []
+        for near in batch.column("near").to_pylist():
+            weight = [1.0 / (x["distance"] + 0.05) for x in near]
+            donors.append([x["donor"] for x in near])
+            middle = kind = None
+            if near and near[0]["category"] is None:
+                by = np.argsort(values := np.array([x["number"] for x in near], dtype=float), kind="stable")
+                upto = np.cumsum(np.array(weight)[by])
+                middle = float(values[by[(upto >= upto[-1] / 2).argmax()]])
+            elif near:
+                votes: dict[str, float] = {}
+                for x, w in zip(near, weight, strict=True):
+                    votes[x["category"]] = votes.get(x["category"], 0.0) + w
+                kind = min(votes, key=lambda v: (-votes[v], v))
+            number.append(middle)
+            category.append(kind)
+        columns = [batch.column("key"), batch.column("field"), pa.array(number, pa.float64()), pa.array(category, pa.string()), batch.column("level"), pa.array([len(x) for x in donors], pa.int32()), pa.array(donors, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def hot_deck(df: DataFrame, key: str, plan: Plan) -> DataFrame:
@@ -171,19 +197,27 @@ def hot_deck(df: DataFrame, key: str, plan: Plan) -> DataFrame:
     )
     lacking = checkpointed(lacking)
     # Only blocks that are asked for are read; where few are, donors are filtered before any shuffle.
-    used = broadcast_if_small(lacking.select("field", "level", "hash", "n").distinct())
-    give = donors.join(used, ["field", "level", "hash"])
-    ask = lacking.join(records.filter("NOT donor").select("key", "field", "numbers", "categories", "rank", "number", "category", "donor"), ["key", "field"])
-    columns = ["key", "numbers", "categories", "rank", "field", "number", "category", "donor", "level", "hash", "n"]
-    parts = F.ceil(F.col("n") / BLOCK_ROWS)
-    part = F.floor(F.col("rank") * F.least(parts, F.lit(RANKS)) / RANKS) + RANKS * F.pmod(F.xxhash64("key", F.lit(7)), F.greatest(F.ceil(parts / RANKS), F.lit(1)))
-    buckets = parts_for(lacking.count(), ROWS_A_BUCKET // 10)
-    both = give.select(*columns).unionByName(ask.select(*columns)).withColumn("part", part)
-    return (
-        both.withColumn("bucket", F.pmod(F.xxhash64("field", "level", "hash", "part"), F.lit(buckets)))
+    used = lacking.groupBy("field", "level", "hash", "n").agg(F.count("*").alias("m"))
+    used = checkpointed(used.withColumn("parts", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(1))))
+    rows = used.agg(F.sum(F.col("m") * F.col("parts") + F.col("n"))).first()[0] or 0
+    buckets = parts_for(rows, ROWS_A_BUCKET // 10)
+    used = broadcast_if_small(used.drop("n", "m"))
+    columns = ["key", "numbers", "categories", "field", "number", "category", "donor", "level", "hash", "part"]
+    give = donors.join(used, ["field", "level", "hash"]).withColumn("part", F.floor(F.col("rank") * F.col("parts") / RANKS))
+    ask = lacking.join(used, ["field", "level", "hash"]).join(
+        records.filter("NOT donor").select("key", "field", "numbers", "categories", "number", "category", "donor"), ["key", "field"]
+    )
+    ask = ask.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    near = (
+        give.select(*columns)
+        .unionByName(ask.select(*columns))
+        .withColumn("bucket", F.pmod(F.xxhash64("field", "level", "hash", "part"), F.lit(buckets)))
         .groupBy("bucket")
-        .applyInArrow(_filler(len(plan.numbers), len(plan.categories)), FILLED)
+        .applyInArrow(_searcher(len(plan.numbers), len(plan.categories)), NEAREST)
     )
+    # Structs sort by distance, then by the donor's key.
+    best = near.groupBy("key", "field").agg(F.first("level").alias("level"), F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, K).alias("near"))
+    return best.select("key", "field", "level", "near").mapInArrow(_filled, FILLED)
 
 
 def _all_there(cols: Sequence[str]) -> Column:

@@ -77,3 +77,18 @@ def test_ties_and_nearest_as_brute_force(spark):
         if y is None:
             near = sorted(donors, key=lambda d: (min(abs(d[1] - x) / scale, 8), d[0]))[:5]
             assert list(got[k]["donors"]) == [d[0] for d in near]
+
+
+def test_hot_block_is_searched_whole(spark):
+    """The donors that are nearest by z lie anywhere in x, by which a hot block was cut into parts."""
+    rng = np.random.default_rng(7)
+    n = 6000
+    x, z = rng.normal(size=n), rng.integers(0, 400, size=n) / 400
+    rows = [(i, "one", float(x[i]), float(z[i]), float(rng.normal()) if i % 20 else None) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, g string, x double, z double, y double")
+    plan = Plan({"y": Field(F.col("y"), [["g"]])}, numbers=["z"], rank_by="x")
+    got = {r["key"]: list(r["donors"]) for r in hot_deck(df, "k", plan).collect()}
+    q = df.agg(F.percentile_approx("z", [0.25, 0.75], 1000)).first()[0]
+    keys = np.array([i for i in range(n) if i % 20])
+    want = {i: keys[np.lexsort((keys, np.abs(z[keys] / (q[1] - q[0]) - z[i] / (q[1] - q[0]))))[:5]].tolist() for i in range(0, n, 20)}
+    assert got == want
