@@ -2,10 +2,12 @@
 
 Each field names levels of observed columns, from the most specific to none at all. Records are hashed by
 the columns of a level; a record that lacks the value goes to the first level at which at least K donors
-agree with it (else the first with any). A block of more than BLOCK_ROWS donors is searched in parts, to spread
-the work: a recipient goes to every part, and of the K closest of each part the K closest of all are kept, so the
-result is that of the whole block. Within its block the K closest donors are found by a mixed distance: numeric features in units of their interquartile range (a missing one
-counts FAR), 1 for each categorical feature that differs or is missing. Numbers take the median of the
+agree with it (else the first with any). A block of more than BLOCK_ROWS donors, or recipients, is searched in
+parts of about that many, dealt by key, to spread the work: each part of the recipients meets each part of the
+donors, and of the K closest of each the K closest of all are kept, so the result is that of the whole block.
+Within its block the K closest donors are found by a mixed distance: numeric features in units of their
+interquartile range (a missing one counts FAR, none more than four times that), 1 for each categorical feature
+that differs or is missing. Numbers take the median of the
 donors weighted by closeness, categories the weighted majority; ties go to the smaller key or value.
 
 Records with a null key are left out; copies of a key count once. Without any donor the value stays null
@@ -27,7 +29,6 @@ from ostinato.session import broadcast_if_small, checkpointed, parts_for
 
 K = 5
 BLOCK_ROWS = 2048
-RANKS = 256
 ROWS_A_BUCKET = 50_000
 FAR = 2.0
 FILLED = "key long, field string, number double, category string, level int, n_donors int, donors array<long>"
@@ -49,7 +50,7 @@ class Plan:
     fields: Mapping[str, Field]
     numbers: Sequence[str] = field(default_factory=tuple)
     categories: Sequence[str] = field(default_factory=tuple)
-    rank_by: str | None = None
+    rank_by: str | None = None  # has no effect: parts of a block are dealt by key
 
 
 def _closest(distance: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +98,7 @@ def _searcher(numbers: int, categories: int):
 
     def search(data: pa.Table) -> pa.Table:
         parts = [schema.empty_table()]
-        for (name, level, *_), g in data.to_pandas().groupby(["field", "level", "hash", "part"], sort=False, dropna=False):
+        for (name, level, *_), g in data.to_pandas().groupby(["field", "level", "hash", "part", "ask_part"], sort=False, dropna=False):
             ask, give = g[~g["donor"]], g[g["donor"]]
             if ask.empty:
                 continue
@@ -136,17 +137,10 @@ def _filled(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def hot_deck(df: DataFrame, key: str, plan: Plan) -> DataFrame:
     """One row for each missing value: key, field, number or category, level, n_donors, donors (their keys)."""
     scale = {n: 1.0 for n in plan.numbers}
-    cuts: list[float] = []
     asked = [F.percentile_approx(n, [0.25, 0.75], 1000).alias(f"q_{n}") for n in plan.numbers]
-    if plan.rank_by:
-        asked.append(F.percentile_approx(plan.rank_by, [i / RANKS for i in range(1, RANKS)], 2000).alias("rank_cuts"))
     if asked:  # one row of bounded size
         row = df.agg(*asked).first()
         scale = {n: ((q[1] - q[0]) or 1.0) if (q := row[f"q_{n}"]) else 1.0 for n in plan.numbers}
-        cuts = sorted(set(row["rank_cuts"] or [])) if plan.rank_by else []
-    rank = F.pmod(F.xxhash64(key), F.lit(RANKS)).cast("int")
-    if cuts:
-        rank = F.when(F.col(plan.rank_by).isNull(), rank).otherwise(F.size(F.filter(F.lit(cuts), lambda x: x < F.col(plan.rank_by))))
     values = []
     for name, f in plan.fields.items():
         levels = [
@@ -174,13 +168,12 @@ def hot_deck(df: DataFrame, key: str, plan: Plan) -> DataFrame:
             F.col(key).cast("long").alias("key"),
             (F.array(*[(F.col(n) / scale[n]).cast("double") for n in plan.numbers]) if plan.numbers else no_numbers).alias("numbers"),
             (F.array(*[F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c)) for c in plan.categories]) if plan.categories else no_categories).alias("categories"),
-            rank.alias("rank"),
             F.array(*values).alias("values"),
         )
     )
-    records = base.select("key", "numbers", "categories", "rank", F.explode("values").alias("x")).select("key", "numbers", "categories", "rank", "x.*")
+    records = base.select("key", "numbers", "categories", F.explode("values").alias("x")).select("key", "numbers", "categories", "x.*")
     by_level = records.select("*", F.explode("levels").alias("at")).select(
-        "key", "numbers", "categories", "rank", "field", "number", "category", "donor", "at.level", "at.hash"
+        "key", "numbers", "categories", "field", "number", "category", "donor", "at.level", "at.hash"
     )
     donors = by_level.filter("donor").drop("levels")
     counts = donors.groupBy("field", "level", "hash").agg(F.count("*").alias("n"))
@@ -198,20 +191,23 @@ def hot_deck(df: DataFrame, key: str, plan: Plan) -> DataFrame:
     lacking = checkpointed(lacking)
     # Only blocks that are asked for are read; where few are, donors are filtered before any shuffle.
     used = lacking.groupBy("field", "level", "hash", "n").agg(F.count("*").alias("m"))
-    used = checkpointed(used.withColumn("parts", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(1))))
-    rows = used.agg(F.sum(F.col("m") * F.col("parts") + F.col("n"))).first()[0] or 0
+    used = used.withColumn("parts", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(1))).withColumn("ask_parts", F.ceil(F.col("m") / BLOCK_ROWS))
+    used = checkpointed(used)
+    rows = used.agg(F.sum(F.col("m") * F.col("parts") + F.col("n") * F.col("ask_parts"))).first()[0] or 0
     buckets = parts_for(rows, ROWS_A_BUCKET // 10)
     used = broadcast_if_small(used.drop("n", "m"))
-    columns = ["key", "numbers", "categories", "field", "number", "category", "donor", "level", "hash", "part"]
-    give = donors.join(used, ["field", "level", "hash"]).withColumn("part", F.floor(F.col("rank") * F.col("parts") / RANKS))
+    columns = ["key", "numbers", "categories", "field", "number", "category", "donor", "level", "hash", "part", "ask_part"]
+    dealt = lambda parts: F.pmod(F.xxhash64("key", F.lit(7)), F.col(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    give = donors.join(used, ["field", "level", "hash"]).withColumn("part", dealt("parts")).withColumn("ask_part", every("ask_parts"))
     ask = lacking.join(used, ["field", "level", "hash"]).join(
         records.filter("NOT donor").select("key", "field", "numbers", "categories", "number", "category", "donor"), ["key", "field"]
     )
-    ask = ask.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    ask = ask.withColumn("ask_part", dealt("ask_parts")).withColumn("part", every("parts"))
     near = (
         give.select(*columns)
         .unionByName(ask.select(*columns))
-        .withColumn("bucket", F.pmod(F.xxhash64("field", "level", "hash", "part"), F.lit(buckets)))
+        .withColumn("bucket", F.pmod(F.xxhash64("field", "level", "hash", "part", "ask_part"), F.lit(buckets)))
         .groupBy("bucket")
         .applyInArrow(_searcher(len(plan.numbers), len(plan.categories)), NEAREST)
     )

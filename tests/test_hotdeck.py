@@ -92,3 +92,21 @@ def test_hot_block_is_searched_whole(spark):
     keys = np.array([i for i in range(n) if i % 20])
     want = {i: keys[np.lexsort((keys, np.abs(z[keys] / (q[1] - q[0]) - z[i] / (q[1] - q[0]))))[:5]].tolist() for i in range(0, n, 20)}
     assert got == want
+
+
+def test_parts_are_even_and_leave_no_recipient_without_donors(spark, monkeypatch):
+    """All donors of a hot block share a duration; its recipients have another or none."""
+    search = hotdeck._search_part
+
+    def bounded(ask, give, *rest):
+        assert max(len(ask), len(give)) < 700
+        return search(ask, give, *rest)
+
+    monkeypatch.setattr(hotdeck, "BLOCK_ROWS", 500)
+    monkeypatch.setattr(hotdeck, "_search_part", bounded)
+    rows = [(i, "hot", 1.0, 7.0) for i in range(4000)] + [(i, "hot", None if i % 2 else 0.0, None) for i in range(4000, 6000)]
+    rows += [(i, f"cold{i}", i / 8000, 1.0) for i in range(6000, 14000)]
+    df = spark.createDataFrame(rows, "k long, g string, x double, y double")
+    got = hot_deck(df, "k", Plan({"y": Field(F.col("y"), [["g"]])}, numbers=["x"], rank_by="x")).collect()
+    assert len(got) == 2000
+    assert {(r["number"], tuple(r["donors"])) for r in got} == {(7.0, (0, 1, 2, 3, 4))}
