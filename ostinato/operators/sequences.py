@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ostinato.operators import blocks, intervals
 from ostinato.operators.grouped import per_group
+from ostinato.session import checkpointed, present
 
 GAP = -1
 
@@ -110,26 +113,73 @@ def tuning_shifts(played: DataFrame, score: DataFrame, keys: list[str], most: fl
 
 
 def greedy_pairs(x: np.ndarray, y: np.ndarray, most: float) -> list[tuple[int, int]]:
-    """Pairs of places in x and y, nearest first, each place once, closer than `most`; of equal distances the first places."""
-    d = np.abs(np.subtract.outer(x, y))
-    i, j = np.nonzero(d < most)
-    by = np.lexsort((j, i, d[i, j]))
-    used_x, used_y, out = set(), set(), []
-    for a, b in zip(i[by].tolist(), j[by].tolist(), strict=True):
-        if a not in used_x and b not in used_y:
-            used_x.add(a)
-            used_y.add(b)
-            out.append((a, b))
+    """Pairs of places in ascending x and y, nearest first, each place once, closer than `most`; of equal distances the first places.
+
+    The nearest pair of those left is always beside each other on the line of all times: only such pairs are held.
+    """
+    nodes: list[tuple[float, int, list[int]]] = []  # time, side, places from the last to the first
+    for side, times in enumerate((x, y)):
+        held: dict[float, list[int]] = {}
+        for i, t in enumerate(times.tolist()):
+            if t == t:
+                held.setdefault(t, []).append(i)
+        nodes.extend((t, side, places[::-1]) for t, places in held.items())
+    nodes.sort(key=lambda n: n[:2])
+    before, after = list(range(-1, len(nodes) - 1)), [*range(1, len(nodes)), -1]
+    heap: list[tuple[float, int, int, int, int]] = []
+
+    def offer(a: int, b: int) -> None:
+        if a >= 0 and b >= 0 and nodes[a][1] != nodes[b][1]:
+            left, right = (a, b) if nodes[a][1] == 0 else (b, a)
+            if (d := abs(nodes[left][0] - nodes[right][0])) < most:
+                heappush(heap, (d, nodes[left][2][-1], nodes[right][2][-1], a, b))
+
+    for a in range(len(nodes) - 1):
+        offer(a, a + 1)
+    out = []
+    while heap:
+        _, i, j, a, b = heappop(heap)
+        left, right = (a, b) if nodes[a][1] == 0 else (b, a)
+        if after[a] != b or nodes[left][2][-1:] != [i] or nodes[right][2][-1:] != [j]:
+            continue
+        out.append((i, j))
+        nodes[left][2].pop()
+        nodes[right][2].pop()
+        outer_a, outer_b = before[a], after[b]
+        line = [n for n in (outer_a, a, b, outer_b) if n < 0 or n in (outer_a, outer_b) or nodes[n][2]]
+        for n in (a, b):
+            if not nodes[n][2]:
+                before[n] = after[n] = -2
+        for p, q in zip(line, line[1:], strict=False):
+            if p >= 0:
+                after[p] = q
+            if q >= 0:
+                before[q] = p
+            offer(p, q)
     return out
 
 
 def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], most: float) -> DataFrame:
-    """One-to-one matches of times (keys, t) of two tables within a key: keys, left_t, right_t."""
-    both = left.select(*keys, "t", F.lit(0).alias("side")).unionByName(right.select(*keys, "t", F.lit(1).alias("side")))
+    """One-to-one matches of times (keys, t) of two tables within a key: keys, left_t, right_t.
+
+    Times of left that are 2 * most or farther apart share no match: a key is cut there, and each stretch is matched by itself.
+    """
+    spare = 1e-3  # more than sums of times are off
+    one = F.to_json(F.struct(*keys)).alias("__key")  # null keys too
+    kept = left.select(*keys).schema
+    x = left.filter(present("t")).select(one, F.col("t").cast("double").alias("t"), F.monotonically_increasing_id().alias("__id"))
+    x = checkpointed(x)  # the ids stay as they are
+    x = blocks.neighbour(blocks.parted(x, "t", blocks.SECONDS), ["__key"], ["t", "__id"], F.struct("t"), "__last")
+    new = F.when(F.col("__last").isNull() | (F.col("t") - F.col("__last.t") >= 2 * most + 4 * spare), 1).otherwise(0).cast("long")
+    x = checkpointed(blocks.running_total(x, ["__key"], ["t", "__id"], new, "__stretch"))
+    stretches = x.groupBy("__key", "__stretch").agg((F.min("t") - most - spare).alias("start"), (F.max("t") + most + spare).alias("end"))
+    y = intervals.interval_join(right.filter(present("t")).select(one, F.col("t").cast("double").alias("t")), stretches, ["__key"])
+    columns = ["__key", "__stretch", "t"]
+    both = x.select(*columns, F.lit(0).alias("side")).unionByName(y.select(*columns, F.lit(1).alias("side")))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x, y = (np.sort(g["t"][g["side"] == s].to_numpy()) for s in (0, 1))
         pairs = greedy_pairs(x, y, most)
         return pd.DataFrame({"left_t": [x[i] for i, _ in pairs], "right_t": [y[j] for _, j in pairs]}, dtype="float64")
 
-    return per_group(both, keys, run, "left_t double, right_t double")
+    return per_group(both, ["__key", "__stretch"], run, "left_t double, right_t double").select(F.from_json("__key", kept).alias("k"), "left_t", "right_t").select("k.*", "left_t", "right_t")

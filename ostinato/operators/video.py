@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ostinato.operators.grouped import per_group
 from ostinato.session import present
 
+LISTED = 1024  # points of which all pairs are listed
+
 
 def kalman_smooth(z: np.ndarray, observation=(0.05, 0.001), process=(0.15, 0.015, 0.25, 0.05, 0.1, 0.025), calm: float = 1.0) -> np.ndarray:
     """Positions (tracks, time, 2) of points moving at near constant velocity, smoothed forwards and backwards; NaN is missing.
@@ -82,13 +84,64 @@ def smooth_marks(marks: DataFrame, keys: list[str], order: str, key: str, togeth
     return rows.groupBy("__bucket").applyInPandas(run, schema)
 
 
+def _inversions(place: np.ndarray) -> int:
+    """How many pairs of places (integers from 0) are in descending order; memory grows with their number, not with its square."""
+    total, at = 0, np.arange(len(place))
+    for b in reversed(range(int(place.max()).bit_length())):
+        bit, above = (place >> b) & 1, place >> (b + 1)
+        ones = np.cumsum(bit)
+        new = np.append(True, above[1:] != above[:-1])
+        first = np.maximum.accumulate(np.where(new, at, 0))
+        total += int(((ones - ones[first] + bit[first]) * (1 - bit)).sum())
+        place = place[np.argsort(place >> b, kind="stable")]
+    return total
+
+
+def _median_slope(t: np.ndarray, y: np.ndarray) -> float:
+    """Median slope of all pairs with different t by bisection: slopes below s are pairs whose y - s * t descends over time."""
+    by = np.lexsort((y, t))
+    t, y = t[by] - t[by[0]], y[by]
+    first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+    if len(first) == 1:
+        return 0.0
+    run, low, high = np.diff(t[first]), np.minimum.reduceat(y, first), np.maximum.reduceat(y, first)
+    least, most = float(((low[1:] - high[:-1]) / run).min()), float(((high[1:] - low[:-1]) / run).max())
+    held = np.diff(np.append(first, len(t)))
+    pairs = (len(t) * (len(t) - 1) - int((held * (held - 1)).sum())) // 2
+
+    def below(s: float) -> int:
+        z = y - s * t
+        # At equal times y ascends, and so does z.
+        return _inversions(np.unique(z, return_inverse=True)[1])
+
+    def ranked(k: int) -> float:
+        spare = 1e-9 * max(abs(least), abs(most), 1e-300)
+        lo, hi = least - spare, most + spare
+        while lo < (mid := lo + (hi - lo) / 2) < hi and hi - lo > 1e-14 * max(abs(lo), abs(hi)) and hi - lo > 1e-16 * max(abs(least), abs(most)):
+            lo, hi = (mid, hi) if below(mid) <= k else (lo, mid)
+        # A pair with that slope has neighbouring z: its slope is free of the error of the sums.
+        z = np.argsort(y - mid * t, kind="stable")
+        dt, dy = np.diff(t[z]), np.diff(y[z])
+        slopes = dy[dt != 0] / dt[dt != 0]
+        return float(slopes[np.abs(slopes - mid).argmin()]) if np.abs(slopes - mid).min() <= 1e-12 * max(abs(least), abs(most)) else mid
+
+    lower = ranked((pairs - 1) // 2)
+    return lower if pairs % 2 else (lower + ranked(pairs // 2)) / 2
+
+
 def robust_line(t: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept that half of the points agree with (Theil and Sen): median slope of pairs, median remainder."""
+    """Slope and intercept that half of the points agree with (Theil and Sen): median slope of pairs, median remainder.
+
+    Beyond LISTED points the pairs are counted, not listed.
+    """
     if len(t) == 0:
         return float("nan"), float("nan")
-    i, j = np.triu_indices(len(t), 1)
-    run = t[j] - t[i]
-    slope = float(np.median((y[j] - y[i])[run != 0] / run[run != 0])) if (run != 0).any() else 0.0
+    if len(t) > LISTED:
+        slope = _median_slope(t, y)
+    else:
+        i, j = np.triu_indices(len(t), 1)
+        run = t[j] - t[i]
+        slope = float(np.median((y[j] - y[i])[run != 0] / run[run != 0])) if (run != 0).any() else 0.0
     return slope, float(np.median(y - slope * t))
 
 
