@@ -192,6 +192,18 @@ def little_endian(content, at: int) -> Column:
     return F.conv(F.hex(F.reverse(F.substring(col(content), at + 1, 4))), 16, 10).cast("long")
 
 
+#: A time span as people type it: sign, number, unit.
+SPAN = r"^([+-]? ?[0-9]*\.?[0-9]+(?:\.|e[+-]?[0-9]+)?) ?(ms|msec|milliseconds|s|sec|secs|seconds|min)?\.?$"
+
+
+def seconds(text) -> Column:
+    """Seconds of a time span as it was typed: decimal point or comma, unit ms, s or min (s if there's none); null if it is none."""
+    plain = F.translate(F.lower(F.trim(F.regexp_replace(col(text), r"\s+", " "))), ",−", ".-")
+    number = F.translate(F.regexp_extract(plain, SPAN, 1), " ", "").try_cast("double")
+    unit = F.regexp_extract(plain, SPAN, 2)
+    return F.when(unit.startswith("ms") | unit.startswith("milli"), number / 1000).when(unit == "min", number * 60).otherwise(number)
+
+
 # Means that don't depend on the order of rows
 
 

@@ -8,6 +8,23 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ostinato.functions.exprs import seconds
+from ostinato.session import path_key
+
+
+def best_delays(delays: DataFrame) -> DataFrame:
+    """The usable delay with the highest frac of each pair of files: video, signal, delay; of equal ones the smallest.
+
+    delays: video_file, signal_file, video_to_signal_delay as typed, frac; a frac that is null or NaN comes last.
+    """
+    frac = F.coalesce(F.nanvl("frac", F.lit(-1.0)), F.lit(-1.0))
+    return (
+        delays.select(path_key("video_file").alias("video"), path_key("signal_file").alias("signal"), seconds("video_to_signal_delay").alias("delay"), frac.alias("frac"))
+        .filter("video IS NOT NULL AND signal IS NOT NULL AND delay IS NOT NULL")
+        .groupBy("video", "signal")
+        .agg(F.max_by("delay", F.struct("frac", -F.col("delay"))).alias("delay"))
+    )
+
 
 def peak_pairs(peaks: DataFrame, keys: Sequence[str], t: str, least: float, most: float, carried: Sequence[str]) -> DataFrame:
     """Pairs of peaks of the same key, the second `least` to `most` after the first: keys, t, dt, carried of both (suffixes 1, 2).

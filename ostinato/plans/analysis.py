@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinato.functions import exprs
-from ostinato.llm import nearest
 from ostinato.operators import intervals, segment, sequences, signals, stats, sync, video, windows
 from ostinato.plans import views
 from ostinato.plans.notes import _SCORE, _score
 from ostinato.plans.registry import Registry
 from ostinato.plans.series import _FRAMED, _HOP, _WINDOW, _framed
-from ostinato.plans.views import H, K, M, N, P, R, path_sql, rounded
+from ostinato.plans.views import B, H, K, M, N, P, R, path_sql, rounded
 from ostinato.session import broadcast_if_small, checkpointed, path_key, shared_folder, table
 from ostinato.streaming.regions import drained, session_regions
 
@@ -251,34 +250,22 @@ def kalman_smooth(spark: SparkSession, d: str) -> DataFrame:
     return rounded(video.smooth_marks(m, ["video", "marker_id"], "msec", "mark_id"), 6, "smooth_x", "smooth_y")
 
 
-_DELAYED = f"""b AS (
-  SELECT video, signal, delay FROM (SELECT {path_sql('video_file')} AS video, {path_sql('signal_file')} AS signal, frac, try_cast(trim(video_to_signal_delay) AS DOUBLE) AS delay FROM wav_video_delays)
-  WHERE delay IS NOT NULL QUALIFY row_number() OVER (PARTITION BY video, signal ORDER BY frac DESC, delay) = 1
-)"""
-
-
 @registry.query(
     "cut_to_recording",
-    _sql("""SELECT m.mark_id, k.ver_id, round(m.msec / 1000 + b.delay - k."start", 6) AS t FROM m JOIN b ON b.video = m.video JOIN k ON k.file = b.signal AND m.msec / 1000 + b.delay > k."start" AND m.msec / 1000 + b.delay < k."end" """, M, K, _DELAYED),
+    _sql("""SELECT m.mark_id, k.ver_id, round(m.msec / 1000 + b.delay - k."start", 6) AS t FROM m JOIN b ON b.video = m.video JOIN k ON k.file = b.signal AND m.msec / 1000 + b.delay > k."start" AND m.msec / 1000 + b.delay < k."end" """, M, K, B),
 )
 def cut_to_recording(spark: SparkSession, d: str) -> DataFrame:
-    """Video marks within each take, on a clock that starts with the take; only plainly written delays are used, all in cut_to_recording_any_delay."""
-    b = table(spark, d, "wav_video_delays").select(path_key("video_file").alias("video"), path_key("signal_file").alias("file"), F.trim("video_to_signal_delay").try_cast("double").alias("delay"), "frac").filter("delay IS NOT NULL")
-    b = b.groupBy("video", "file").agg(F.max_by("delay", F.struct("frac", -F.col("delay"))).alias("delay"))
-    return _cut(spark, d, b)
-
-
-def _cut(spark: SparkSession, d: str, delays: DataFrame) -> DataFrame:
-    """Marks within takes by the delay of each pair of files: video, file, delay."""
+    """Video marks within each take, on a clock that starts with the take; delays are read however they are typed."""
+    delays = sync.best_delays(table(spark, d, "wav_video_delays")).withColumnRenamed("signal", "file")
     m = views.marks(spark, d).join(broadcast_if_small(delays), "video").select("mark_id", "file", (F.col("msec") / 1000 + F.col("delay")).alias("t"))
     j = intervals.interval_join(m, views.takes(spark, d).select("file", "start", "end", "ver_id"), ["file"], closed="neither")
     return rounded(j.select("mark_id", "ver_id", (F.col("t") - F.col("start")).alias("t")), 6, "t")
 
 
-@registry.query("cut_to_recording_any_delay")
+@registry.query("cut_to_recording_any_delay", registry.sql["cut_to_recording"])
 def cut_to_recording_any_delay(spark: SparkSession, d: str) -> DataFrame:
-    """Video marks within each take, on a clock that starts with the take; delays are read however they are typed."""
-    return _cut(spark, d, nearest.best_delays(table(spark, d, "wav_video_delays")).withColumnRenamed("signal", "file"))
+    """The same, by its earlier name."""
+    return cut_to_recording(spark, d)
 
 
 @registry.query(

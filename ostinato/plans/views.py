@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.functions.exprs import clean
+from ostinato.functions.exprs import SPAN, clean
 from ostinato.operators.hotdeck import INSTRUMENTS, NOTE_LIMITS, category_or_null, number_or_null
 from ostinato.session import broadcast_if_small, path_key, present, table
 
@@ -102,5 +102,15 @@ M = f"""m AS (
 )"""
 
 
+_TYPED = "translate(lower(trim(regexp_replace(video_to_signal_delay, '\\s+', ' ', 'g'))), ',−', '.-')"
+#: The best usable delay of each pair of files, however it was typed.
+B = f"""b AS (
+  SELECT video, signal, CASE WHEN unit LIKE 'ms%' OR unit LIKE 'milli%' THEN number / 1000 WHEN unit = 'min' THEN number * 60 ELSE number END AS delay
+  FROM (SELECT {path_sql('video_file')} AS video, {path_sql('signal_file')} AS signal, CASE WHEN isnan(frac) THEN -1 ELSE coalesce(frac, -1) END AS frac,
+    try_cast(replace(regexp_extract({_TYPED}, '{SPAN}', 1), ' ', '') AS DOUBLE) AS number, regexp_extract({_TYPED}, '{SPAN}', 2) AS unit FROM wav_video_delays)
+  WHERE number IS NOT NULL QUALIFY row_number() OVER (PARTITION BY video, signal ORDER BY frac DESC, delay) = 1
+)"""
+
+
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
