@@ -38,6 +38,42 @@ def test_as_brute_force(spark, monkeypatch, hot):
     assert {(r["left_id"], r["right_id"]) for r in got} == brute(left, right, 0.15)
 
 
+def test_dense_right_side_is_split(spark, monkeypatch):
+    """A third of the records at one entity and within one shard: no bucket holds more than its share."""
+    rows = []
+    n = 200_000
+    match = nearest._match_bucket
+    monkeypatch.setattr(nearest, "HOT", 5_000)
+    monkeypatch.setattr(nearest, "ROWS_A_BUCKET", 10_000)
+    right = spark.range(n).selectExpr("if(id % 3 = 0, 'hub', concat('e', id % 500)) entity", "1.0 + id * 0.0003 t", "id", "0 gap")
+    left = spark.range(20_000).selectExpr("if(id % 3 = 0, 'hub', concat('e', id % 500)) entity", "1.00004 + id * 0.003 t", "id", "'' right_id")
+
+    def counted(tolerance):
+        run = match(tolerance)
+
+        def bounded(data):
+            assert data.num_rows < 40_000, data.num_rows
+            return run(data)
+
+        return bounded
+
+    monkeypatch.setattr(nearest, "_match_bucket", counted)
+    got = {(r["left_id"], r["right_id"]) for r in nearest.nearest_in_time(left, right, 0.15).collect()}
+    times: dict[str, list] = {}
+    for i in range(n):
+        times.setdefault("hub" if i % 3 == 0 else f"e{i % 500}", []).append((1.0 + i * 0.0003, i))
+    at = {key: np.array([x for x, _ in held]) for key, held in times.items()}
+    for i in range(20_000):
+        key, t = "hub" if i % 3 == 0 else f"e{i % 500}", 1.00004 + i * 0.003
+        if key in at:
+            lo = max(0, int(np.searchsorted(at[key], t)) - 2)
+            ts = at[key][lo : lo + 4]
+            gap = np.abs(ts - t)
+            if gap.min() <= 0.15:
+                rows.append((i, times[key][lo + int(np.argmin(np.round(gap, 9)))][1]))
+    assert got == set(rows)
+
+
 def test_equally_near_takes_the_earlier(spark):
     left = spark.createDataFrame([("a", 1.0, 1, "")], LEFT)
     right = spark.createDataFrame([("a", 1.1, 5, 0), ("a", 0.9, 7, 0), ("a", 0.9, 6, 0)], RIGHT)
@@ -53,15 +89,6 @@ def test_index_error_is_bounded():
         assert (got == np.searchsorted(keys, asked, side="right")).all()
 
 
-@pytest.mark.parametrize(
-    "typed, want",
-    [("-24.644", -24.644), (" -57.831", -57.831), ("-49,244", -49.244), ("-15959 ms", -15.959), ("-2.911 s", -2.911), ("-9.119e+00", -9.119), ("+1.488 s", 1.488), ("−3.5", -3.5), ("2 min", 120.0), ("n/a", None), ("failed", None), ("", None), (None, None)],
-)
-def test_typed_delays(spark, typed, want):
-    got = spark.createDataFrame([(typed,)], "d string").select(nearest.seconds("d").alias("x")).first()["x"]
-    assert got == (pytest.approx(want) if want is not None else None)
-
-
 def test_best_delay_and_paths(spark):
     delays = spark.createDataFrame(
         [("/A/x.wav", "/a/v.MP4", "failed", 0.9), ("\\a\\X.WAV ", "/A/v.mp4", "-1.0", 0.2), ("/a/x.wav", "/a/v.mp4", "-2,0", 0.5), ("/a/y.wav", "/a/v.mp4", "-3000 ms", float("nan"))],
