@@ -7,7 +7,8 @@ outstanding label first, into the split that needs most of it (ties: most record
 
 Components of a LARGE-th of all records or more, of which there are at most LARGE, are placed first, in one
 task. All others are hashed into shards of at most about SHARD components; each shard is placed against its
-own share of what is still needed.
+own share of what is still needed, rounded (where there are several) to whole records so that the shares of all shards add up: else a
+label that is rare in every shard would always go to the split with the largest share.
 
 A null key relates to nothing; a record without any key is a component of its own. Null labels are a
 label. Copies of a record id are related by it. No records: no rows. Extra columns are left out.
@@ -16,10 +17,11 @@ label. Copies of a record id are related by it. No records: no rows. Extra colum
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ostinato.session import broadcast_if_small, checkpointed, parts_for
@@ -49,30 +51,50 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def place(vectors: np.ndarray, need: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Split of each component. vectors: its records of each label; need: records wanted of each label and split.
+def place(component: np.ndarray, label: np.ndarray, n: np.ndarray, size: np.ndarray, need: np.ndarray, total: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Split of each component. component, label, n: how many records of a label a component has, where it has any.
 
-    order: a rank that decides between components of equal weight. The last label counts all records.
+    size: all records of a component; need: records wanted of each label and split; total: records wanted of each
+    split; order: a rank that decides between components of equal weight.
     """
-    left = need.astype(float).copy()
-    split = np.full(len(vectors), -1)
-    open_ = np.ones(len(vectors), dtype=bool)
-    outstanding = vectors.sum(axis=0).astype(float)
-    while open_.any():
-        rare = np.where(outstanding > 0, outstanding, np.inf)
-        rare[-1] = np.inf if np.isfinite(rare[:-1]).any() else 0.0  # all records count as a label once no other is left
-        label = int(rare.argmin())
-        these = np.flatnonzero(open_ & (vectors[:, label] > 0)) if rare[label] > 0 else np.flatnonzero(open_)
-        for i in these[np.lexsort((order[these], -vectors[these, -1], -vectors[these, label]))]:
-            wanted = left[label]
-            total = left[-1]
-            # Splits that hold their share already come last, however much of this label they lack.
-            fits = total >= 0.5 * vectors[i, -1]
-            best = np.lexsort((np.arange(len(total)), -total, -wanted, ~fits))[0]
-            split[i] = best
-            left[:, best] -= vectors[i]
-            outstanding -= vectors[i]
-            open_[i] = False
+    count, labels = len(size), len(need)
+    need, total = need.astype(float).copy(), total.astype(float).copy()
+    by_component = np.argsort(component, kind="stable")
+    starts = np.searchsorted(component[by_component], np.arange(count + 1))
+    by_label = np.lexsort((order[component], -size[component], -n, label))
+    of_label = np.searchsorted(label[by_label], np.arange(labels + 1))
+    outstanding = np.bincount(label, weights=n, minlength=labels)
+    share = total / max(total.sum(), 1e-9)
+    split = np.full(count, -1)
+    rest = np.lexsort((order, -size)).tolist()  # for components without any label
+
+    def put(i: int, wanted: np.ndarray, weight: float) -> list[int]:
+        # What a label's share leaves open, not quite half a component up or down, goes to the splits that are behind overall.
+        # Splits that hold their share already come last, however much of a label they lack.
+        lead = wanted + np.clip(total - share * total.sum(), -0.45 * weight, 0.45 * weight)
+        best = min(range(len(total)), key=lambda s: (total[s] < 0.5 * size[i], -lead[s], -total[s], s))
+        split[i] = best
+        mine = by_component[starts[i] : starts[i + 1]]
+        need[label[mine], best] -= n[mine]
+        total[best] -= size[i]
+        outstanding[label[mine]] -= n[mine]
+        return label[mine].tolist()
+
+    heap = [(outstanding[j], j) for j in range(labels)]
+    heapify(heap)
+    while heap:
+        left, j = heappop(heap)
+        if left != outstanding[j] or left <= 0:
+            continue  # an older figure of the label, or none of its records are left
+        touched: set[int] = set()
+        for k in by_label[of_label[j] : of_label[j + 1]].tolist():
+            if split[component[k]] < 0:
+                touched.update(put(int(component[k]), need[j], n[k]))
+        for other in touched:
+            heappush(heap, (outstanding[other], other))
+    for i in rest:
+        if split[i] < 0:
+            put(i, total, 0.0)
     return split
 
 
@@ -108,12 +130,18 @@ def split_records(records: DataFrame, key: str, related: Sequence[str], labels:
 
     def put(g: pd.DataFrame, need: pd.DataFrame) -> pd.DataFrame:
         if g.empty:
-            return pd.DataFrame({"component": [], "split": [], "shard": []})
-        columns = sorted(set(g["label"]) - {"all"}) + ["all"]
-        v = g.pivot(index="component", columns="label", values="n").reindex(columns=columns).fillna(0)
-        wanted = need.set_index("of").reindex(columns).fillna(0)[names].to_numpy()
-        rank = pd.util.hash_array(v.index.to_numpy(dtype=object)).argsort().argsort()
-        return pd.DataFrame({"component": v.index, "split": [names[i] for i in place(v.to_numpy(), wanted, rank)], "shard": g["shard"].iloc[0]})
+            return pd.DataFrame({"component": pd.Series([], dtype=object), "split": pd.Series([], dtype=object), "shard": pd.Series([], dtype="int64")})
+        whole = g[g["label"] == "all"].reset_index(drop=True)
+        at = pd.Series(whole.index, index=whole["component"])
+        x = g[g["label"] != "all"]
+        codes, known = pd.factorize(x["label"], sort=True)
+        wanted = need.set_index("of")[names]
+        rank = pd.util.hash_array(whole["component"].to_numpy(dtype=object)).argsort().argsort()
+        got = place(
+            at.reindex(x["component"]).to_numpy(), codes, x["n"].to_numpy(dtype=float), whole["n"].to_numpy(dtype=float),
+            wanted.reindex(known).fillna(0).to_numpy(), wanted.loc["all"].to_numpy(), rank,
+        )
+        return pd.DataFrame({"component": whole["component"], "split": [names[i] for i in got], "shard": g["shard"].iloc[0]})
 
     placed_type = "component string, split string, shard long"
     all_need = totals.select(F.lit(-1).cast("long").alias("shard"), "label", *[(F.col("total") * float(r)).alias(n) for n, r in zip(names, ratio, strict=True)])
@@ -125,9 +153,24 @@ def split_records(records: DataFrame, key: str, related: Sequence[str], labels:
     left = small.groupBy("label").agg(F.sum("n").alias("left"))
     rest = all_need.drop("shard").join(left, "label").join(taken, "label", "left")
     mine = small.groupBy("shard", "label").agg(F.sum("n").alias("mine"))
-    shard_need = mine.join(rest, "label").select("shard", "label", *[((F.col(n) - F.coalesce(f"taken_{n}", F.lit(0))) * F.col("mine") / F.col("left")).alias(n) for n in names])
-    others = small.groupBy("shard").cogroup(_apart(shard_need).groupBy("part")).applyInPandas(put, placed_type)
-    placed = large.select("component", "split").unionByName(others.select("component", "split"))
+    # Up to each shard, the records of a label are shared out as far as whole ones go; a shard gets what that adds.
+    by_shard = Window.partitionBy("label").orderBy("shard")
+    upto = F.sum("mine").over(by_shard.rowsBetween(Window.unboundedPreceding, 0))
+    shard_need = mine.join(rest, "label").withColumn("upto", upto)
+    # The largest split takes what the others leave; those step at different places, and at others for each label.
+    largest = names[int(ratio.argmax())]
+    others = [n for n in names if n != largest]
+    needs = {}
+    for i, n in enumerate(others, 1):
+        due = (F.col(n) - F.coalesce(f"taken_{n}", F.lit(0))) / F.col("left")
+        phase = F.pmod(F.pmod(F.xxhash64("label"), F.lit(1000)) / 1000 + i / (len(others) + 1), F.lit(1.0))
+        step = lambda at: F.floor(at * due + phase)  # noqa: B023, E731
+        whole = step(F.col("upto")) - step(F.col("upto") - F.col("mine"))
+        needs[n] = (whole if shards > 1 else F.col("mine") * due).cast("double")
+    needs[largest] = F.col("mine") - sum(needs.values(), F.lit(0.0))
+    shard_need = shard_need.select("shard", "label", *[needs[n].alias(n) for n in names])
+    rest_placed = small.groupBy("shard").cogroup(_apart(shard_need).groupBy("part")).applyInPandas(put, placed_type)
+    placed = large.select("component", "split").unionByName(rest_placed.select("component", "split"))
     return rows.select("key", "component").join(placed, "component").select(F.col("key").alias(key), "component", "split")
 
 

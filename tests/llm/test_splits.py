@@ -28,10 +28,10 @@ def leaks(rows, split):
     return [k for k, s in by.items() if len(s) > 1]
 
 
-@pytest.mark.parametrize("shard", [60, 5000])
+@pytest.mark.parametrize("shard", [20, 5000])
 def test_whole_together_and_in_proportion(spark, monkeypatch, shard):
     monkeypatch.setattr(splits, "SHARD", shard)
-    monkeypatch.setattr(splits, "LARGE", 50)
+    monkeypatch.setattr(splits, "LARGE", 200)
     rows = recordings(1500, 60, 1)
     got = splits.split_recordings(spark.createDataFrame(rows, REC)).collect()
     split = {r["rec_id"]: r["split"] for r in got}
@@ -39,7 +39,30 @@ def test_whole_together_and_in_proportion(spark, monkeypatch, shard):
     assert leaks(rows, split) == []
     share = {s: sum(v == s for v in split.values()) / len(rows) for s in splits.SPLITS}
     for s, want in splits.SPLITS.items():
-        assert share[s] == pytest.approx(want, abs=0.04)
+        assert share[s] == pytest.approx(want, abs=0.01)
+
+
+@pytest.mark.parametrize("n, subjects", [(3000, 0), (100_000, 0), (40_000, 12_000)])
+def test_without_a_hub(spark, n, subjects):
+    """Single records, and many even subjects: nothing is a large part of all records."""
+    subject = f"cast(id % {subjects} as int)" if subjects else "cast(null as int)"
+    label = "concat('t', cast(floor(60 * rand(3) * rand(4)) as int))"
+    rows = spark.range(n).selectExpr("id rec_id", "concat('/d/', id, '.wav') filename", f"{label} tune", f"{subject} subject_id", "'x' channel_set", "if(id % 3 = 0, 'lab', 'own') instrument")
+    rows = rows.persist()
+    got = splits.split_recordings(rows).join(rows, "rec_id").persist()
+    assert got.count() == n == got.select("rec_id").distinct().count()
+    if subjects:
+        assert got.groupBy("subject_id").agg({"split": "min", "component": "min"}).count() == got.select("subject_id", "split").distinct().count()
+    share = {r["split"]: r["count"] / n for r in got.groupBy("split").count().collect()}
+    for s, want in splits.SPLITS.items():
+        assert share[s] == pytest.approx(want, abs=0.005)
+    held: dict = {}
+    for r in got.groupBy("tune", "split").count().collect():
+        held.setdefault(r["tune"], {})[r["split"]] = r["count"]
+    off = {t: max(abs(h.get(s, 0) / sum(h.values()) - w) for s, w in splits.SPLITS.items()) for t, h in held.items()}
+    size = {t: sum(h.values()) for t, h in held.items()}
+    assert max(o for t, o in off.items() if size[t] >= 100) < (0.02 if subjects else 0.01)
+    rows.unpersist(), got.unpersist()
 
 
 def test_chain_of_listings_is_one_component(spark):
