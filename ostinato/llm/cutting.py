@@ -3,11 +3,13 @@
 A text over the limit becomes pieces of at most `limit` tokens; each piece starts `overlap` tokens before
 the end of the one before it. Dynamic programming over the boundaries chooses the ends: it minimises the
 penalties of the cuts (PENALTY by kind of boundary, MID_WORD where an overlap starts inside a word), the
-squared deviation of the pieces' sizes from an even division, and PIECE for each piece. Boundaries of
-words and tokens are only tried where sections, claims, paragraphs and sentences leave no solution, and
-then within NEAR tokens of an even division.
+squared deviation of the pieces' sizes from an even division, and PIECE for each piece. All numbers of
+pieces that can cost least are tried: what each number costs without regard to sizes is found first, for all
+numbers at once. Boundaries of words and tokens are only tried where sections, claims, paragraphs and sentences
+leave no solution, and then within NEAR tokens of an even division into the fewest pieces, or up to two more.
 
-Sizes are tokens of the encoding of the whole text. Pieces start and end between characters. A piece that
+Sizes are tokens of the encoding of the whole text. Pieces start and end between characters; where no
+such place has another one exactly `overlap` tokens before it, the overlap is up to the character before that. A piece that
 starts or ends inside a word is kept SPARE tokens shorter, as its edge may be encoded differently by itself.
 Null, empty and short texts give no rows; repeated rows are cut each. Extra columns are left out.
 """
@@ -138,7 +140,48 @@ def best_ends(n: int, places: np.ndarray, cost: np.ndarray, mid: np.ndarray, rou
     return float(total[0]) + PIECE * pieces, np.array(ends[::-1])
 
 
-def cut_text(cp: np.ndarray, blank: np.ndarray, start: np.ndarray, counts: np.ndarray, tokens: np.ndarray, facts: tuple[np.ndarray, np.ndarray], limit: int, overlap: int):
+def fewest_pieces(n: int, places: np.ndarray, limit: int, overlap: int) -> int | None:
+    """Least number of pieces with ends at `places` (ascending), each as far as it reaches; None if there's no way on."""
+    at, count = 0, 1
+    reach = limit
+    while reach < n:
+        i = int(np.searchsorted(places, reach, side="right")) - 1
+        if i < 0 or places[i] <= max(at, overlap):
+            return None
+        at = int(places[i])
+        reach = at - overlap + limit
+        count += 1
+    return count
+
+
+def least_penalties(n: int, places: np.ndarray, cost: np.ndarray, limit: int, overlap: int, most: int) -> np.ndarray:
+    """Least sum of the costs of the cuts for each number of pieces up to `most`, whatever their sizes; infinite where there's no way."""
+    step = limit - overlap
+    out = np.full(most + 1, np.inf)
+    lo, hi = np.searchsorted(places, places - step), np.arange(len(places))
+    window = np.stack([lo, np.maximum(hi, lo + 1)], axis=1).ravel()
+    final = np.searchsorted(places, n - step)
+    total = np.where(places <= limit, cost, np.inf)
+    for pieces in range(2, most + 1):
+        out[pieces] = total[final:].min(initial=np.inf)
+        least = np.minimum.reduceat(np.append(total, np.inf), window)[::2]
+        total = np.where(lo < hi, least, np.inf) + cost
+    return out
+
+
+def _full_pieces(n: int, starts_char: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last token of pieces as long as they may be, cut between characters wherever those are."""
+    at = np.arange(n + 1)
+    before = np.maximum.accumulate(np.where(starts_char, at, 0))  # the character that starts at or before each token
+    first, ends = [0], []
+    while first[-1] + limit < n:
+        end = int(before[first[-1] + limit])
+        ends.append(end)
+        first.append(max(int(before[end - overlap]), first[-1] + 1))
+    return np.array(first), np.array([*ends, n])
+
+
+def cut_text(cp: np.ndarray, blank: np.ndarray, start: np.ndarray, counts: np.ndarray, tokens: np.ndarray, facts: tuple[np.ndarray, np.ndarray], limit: int, overlap: int, near: int = NEAR):
     """Pieces of one text: first and last token, first and last character, kind of the cut at the end.
 
     start: where its words start; counts: their tokens; tokens: all tokens of the text.
@@ -157,29 +200,48 @@ def cut_text(cp: np.ndarray, blank: np.ndarray, start: np.ndarray, counts: np.nd
     can_end[overlap:] &= starts_char[: n + 1 - overlap]
     char_at = np.concatenate([[0], np.cumsum(chars[tokens])])
     least = max(2, -(-(n - overlap) // (limit - overlap)))
+    natural = can_end & (kinds <= SENTENCE)
     best = None
-    for worst in (SENTENCE, WORD, TOKEN):
-        natural = can_end & (kinds <= SENTENCE)
-        for pieces in range(least, least + 3):
-            near = natural if worst == SENTENCE else natural.copy()
-            if worst > SENTENCE:  # boundaries within sentences only near an even division
-                even = np.arange(1, pieces) * (n - overlap) / pieces + overlap
-                around = np.unique(np.clip((even[:, None] + np.arange(-NEAR, NEAR + 1)).astype(np.int64), 0, n))
-                near[around] |= (can_end & (kinds <= worst))[around]
-            if best and best[0] <= PIECE * pieces:
-                break  # more pieces cost more, however they are cut
-            places = np.flatnonzero(near)
-            mid = ~starts_word[np.maximum(places - overlap, 0)]
-            got = best_ends(n, places, PENALTY[kinds[places]] + MID_WORD * mid, mid, kinds[places] == TOKEN, limit, overlap, pieces)
-            if got and (best is None or got[0] < best[0]):
-                best = got
+
+    def cut(near: np.ndarray, pieces: int) -> None:
+        nonlocal best
+        places = np.flatnonzero(near)
+        mid = ~starts_word[np.maximum(places - overlap, 0)]
+        got = best_ends(n, places, PENALTY[kinds[places]] + MID_WORD * mid, mid, kinds[places] == TOKEN, limit, overlap, pieces)
+        if got and (best is None or got[0] < best[0]):
+            best = got
+
+    places = np.flatnonzero(natural)
+    fewest = fewest_pieces(n, places, limit, overlap)
+    if fewest is not None:
+        # With as much to spare as any cut takes there's always a way.
+        pieces, last = fewest, fewest_pieces(n, places, limit - 2 * SPARE, overlap) or fewest + 2
+        while best is None and pieces <= last:
+            cut(natural, pieces)
+            pieces += 1
+        if best:
+            cost = PENALTY[kinds[places]] + MID_WORD * ~starts_word[np.maximum(places - overlap, 0)]
+            bound = least_penalties(n, places, cost, limit, overlap, int(best[0] / PIECE)) + PIECE * np.arange(int(best[0] / PIECE) + 1)
+            bound[:pieces] = np.inf
+            for other in np.argsort(bound, kind="stable").tolist():
+                if bound[other] >= best[0]:
+                    break
+                cut(natural, other)
+    for worst in (WORD, TOKEN):
         if best:
             break
-    if best is None:  # no place between characters has one `overlap` tokens earlier: cut at every full piece
-        ends = np.append(np.arange(limit, n, limit - overlap), n)
-        best = (0.0, ends[: int(np.searchsorted(ends, n)) + 1])
-    ends = best[1]
-    first = np.concatenate([[0], ends[:-1] - overlap])
+        for pieces in range(least, least + 3):
+            even = np.arange(1, pieces) * (n - overlap) / pieces + overlap
+            around = np.unique(np.clip((even[:, None] + np.arange(-near, near + 1)).astype(np.int64), 0, n))
+            tried = natural.copy()
+            tried[around] |= (can_end & (kinds <= worst))[around]
+            if best is None or best[0] > PIECE * pieces:
+                cut(tried, pieces)
+    if best is None:
+        first, ends = _full_pieces(n, starts_char, limit, overlap)
+    else:
+        ends = best[1]
+        first = np.concatenate([[0], ends[:-1] - overlap])
     kinds[n] = END
     return first, ends, char_at[first], char_at[ends], kinds[ends]
 

@@ -1,7 +1,7 @@
 """Filling containers of fixed capacity: best-fit decreasing within shards.
 
 An item over the capacity is divided into full pieces and a rest; no other item is. Items are hashed
-into shards of about SHARD items. Within a shard they are taken from the largest to the smallest (ties by
+into shards of about SHARD items, pieces counted. Within a shard they are taken from the largest to the smallest (ties by
 key and piece), each into the open container with the least room that still holds it, found by a segment
 tree over remaining capacities in logarithmic time. Containers of a shard are never shared with another,
 which leaves at most a few part-filled ones in each shard.
@@ -75,7 +75,8 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
 def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """One row for each item or piece of one: key, piece, first, last (half-open, in units of size), n, container."""
     sized = checkpointed(items.select(F.col(key).cast("long").alias("key"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long").alias("size")))
-    shards = parts_for(sized.count(), shard, least=1)
+    n_pieces = sized.agg(F.sum(F.greatest(F.ceil(F.col("size") / capacity), F.lit(1)))).first()[0] or 0
+    shards = parts_for(n_pieces, shard, least=1)
     pieces = sized.select("key", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / capacity))).alias("piece")).select(
         "key",
         "piece",

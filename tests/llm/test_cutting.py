@@ -38,6 +38,7 @@ TEXTS = {
     9: " " * 20000 + "end",
     10: "😀" * 3000,
     11: "a b " * 30000,
+    12: "\n".join(f"{i}. " + prose(560, i).replace(".", "") + "." for i in range(1, 11)),  # ten claims, two of which never fit into a piece
 }
 
 
@@ -71,6 +72,21 @@ def test_cuts_are_natural_where_they_can_be(pieces):
     assert {r["cut"] for r in pieces[2]} <= {"sentence", "end"}
     assert {r["cut"] for r in pieces[4]} <= {"sentence", "end"}
     assert "token" in {r["cut"] for r in pieces[3]}
+    assert [r["cut"] for r in pieces[12]] == ["claim"] * 9 + ["end"]
+
+
+def test_full_pieces_end_between_characters():
+    starts = np.zeros(5001, dtype=bool)
+    starts[::3] = True
+    first, ends = cutting._full_pieces(5000, starts, 1024, 64)
+    assert first[0] == 0 and ends[-1] == 5000
+    assert starts[first].all() and starts[ends[:-1]].all()
+    assert ((ends - first) <= 1024).all() and ((ends[:-1] - first[1:]) >= 64).all() and ((ends[:-1] - first[1:]) <= 67).all()
+
+
+def test_fewest_pieces():
+    assert cutting.fewest_pieces(100, np.array([18, 35, 50, 66, 80, 95]), 20, 2) == 7
+    assert cutting.fewest_pieces(100, np.array([18, 60]), 20, 2) is None
 
 
 def test_best_ends_is_optimal():
@@ -100,3 +116,20 @@ def test_best_ends_is_optimal():
 
 def test_empty(spark):
     assert cutting.cut_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bound_is_the_optimum_without_sizes():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        n, limit, overlap = int(rng.integers(40, 60)), 20, 4
+        places = np.unique(rng.integers(overlap + 1, n, 12))
+        cost = rng.random(len(places)).round(2)
+        got = cutting.least_penalties(n, places, cost, limit, overlap, 6)
+        for pieces in range(2, 7):
+            best = np.inf
+            for choice in combinations(range(len(places)), pieces - 1):
+                ends = [*places[list(choice)], n]
+                starts = [0, *[e - overlap for e in ends[:-1]]]
+                if all(e - s <= limit for s, e in zip(starts, ends, strict=True)):
+                    best = min(best, cost[list(choice)].sum())
+            assert got[pieces] == pytest.approx(best)

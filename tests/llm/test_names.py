@@ -46,3 +46,17 @@ def test_empty(spark):
 
 def test_edits():
     assert names.edits("abcd", "abdc") == 1 and names.edits("", "abc") == 3 and names.edits("kitten", "sitting") == 3
+
+
+def test_blocking_loses_no_close_pair(spark):
+    """All pairs of tokens and words that are close share a pair of letters and pass the filter ahead of Python."""
+    from pyspark.sql import functions as F
+
+    words = sorted({(w, whole) for e in [*ENTRIES, "with great tenderness"] for w, _, whole in names.tokens(e)})
+    said = sorted({(t, m, whole) for n in [*MEANT, *FOREIGN, "withgreattender", "with great tenderly"] for t, m, whole in names.tokens(n) if len(t) < 100})
+    close = {(t, m, whole, w) for t, m, whole in said for w, other in words if other == whole and names.closeness(t, w, m, whole) >= names.CLOSE}
+    assert ("withgreattender", False, True, "withgreattenderness") in close
+    pairs = spark.createDataFrame([(t, m, whole, w) for t, m, whole in said for w, other in words if other == whole], "token string, marked boolean, whole boolean, word string")
+    kept = pairs.filter(F.arrays_overlap(names._grams("token"), names._grams("word")) & names._may_be_close()).collect()
+    assert close <= {tuple(r) for r in kept}
+    assert len(kept) < pairs.count() / 5
