@@ -82,22 +82,23 @@ def level_grid(readings: DataFrame, series: DataFrame, block: int = BLOCK) -> Da
     v is the mean of the readings in the cell, null in a gap; t is the time of the grid.
     """
     headers = _headers(series)
-    once = _placed(readings, headers).groupBy("series_id", "cell", "frame_idx").agg(F.first("v").alias("v"))
-    filled = once.groupBy("series_id", "cell").agg(F.avg("v").alias("v"), F.count("*").alias("n_readings"))
-    gaps = uncovered_slots(readings, series, block).select(
-        "series_id", F.col("slot").cast("long").alias("cell"), F.lit(None).cast("double").alias("v"), F.lit(0).cast("long").alias("n_readings")
-    )
-    return (
-        filled.unionByName(gaps)
-        .join(broadcast_if_small(headers), "series_id")
-        .select(
-            "series_id",
-            F.col("cell").cast("int").alias("slot"),
-            (F.col("t0") + F.col("cell") * F.col("dt")).alias("t"),
-            "v",
-            "n_readings",
-            (F.col("n_readings") == 0).alias("is_gap"),
-        )
+    seen = _placed(readings, headers).select("series_id", F.floor(F.col("cell") / block).alias("block"), "cell", "frame_idx", "v", F.lit(False).alias("is_end"))
+    ends = _markers(headers, block).select("series_id", "block", "cell", F.lit(None).cast(seen.schema["frame_idx"].dataType).alias("frame_idx"), F.lit(None).cast("double").alias("v"), F.lit(True).alias("is_end"))
+    # The only shuffle of the readings: all that follows keeps them by series and block.
+    once = seen.unionByName(ends).repartition("series_id", "block").groupBy("series_id", "block", "cell", "is_end", "frame_idx").agg(F.first("v").alias("v"))
+    cells = once.groupBy("series_id", "block", "cell", "is_end").agg(F.avg("v").alias("v"), F.count("v").alias("n_readings"))
+    start = F.coalesce(F.lag("cell").over(Window.partitionBy("series_id", "block").orderBy("cell")), F.col("block") * block - 1) + 1
+    # Each cell with the empty ones before it; the end of a block stands for those at its end only.
+    last = F.when(F.col("is_end"), F.col("cell") - 1).otherwise(F.col("cell"))
+    spread = cells.withColumn("start", start).withColumn("last", last).filter("start <= last").withColumn("slot", F.explode(F.sequence("start", "last")))
+    own = (F.col("slot") == F.col("cell")) & ~F.col("is_end")
+    return spread.join(broadcast_if_small(headers), "series_id").select(
+        "series_id",
+        F.col("slot").cast("int").alias("slot"),
+        (F.col("t0") + F.col("slot") * F.col("dt")).alias("t"),
+        F.when(own, F.col("v")).alias("v"),
+        F.when(own, F.col("n_readings")).otherwise(F.lit(0)).cast("long").alias("n_readings"),
+        (~own).alias("is_gap"),
     )
 
 

@@ -30,6 +30,7 @@ from ostinato.session import broadcast_if_small, checkpointed, parts_for
 K = 5
 BLOCK_ROWS = 2048
 ROWS_A_BUCKET = 50_000
+CHUNK = 1 << 18  # pairs of a recipient and a donor that are compared at a time
 FAR = 2.0
 FILLED = "key long, field string, number double, category string, level int, n_donors int, donors array<long>"
 NEAREST = "key long, field string, level int, near array<struct<distance:double,donor:long,number:double,category:string>>"
@@ -67,45 +68,69 @@ def _closest(distance: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return row[kept], column[kept]
 
 
-def _search_part(ask: pd.DataFrame, give: pd.DataFrame, numbers: int, categories: int) -> pa.ListArray:
-    """For each recipient the K closest donors of a part of a block, or as many as there are."""
-    give = give.sort_values("key", kind="stable")
-    gn, an = np.stack(give["numbers"]).astype(float), np.stack(ask["numbers"]).astype(float)
-    gc, ac = np.stack(give["categories"]), np.stack(ask["categories"])
-    keys, number, category = give["key"].to_numpy(), give["number"].to_numpy(dtype=float), give["category"].to_numpy(dtype=object)
-    rows, places, far = [], [], []
-    for lo in range(0, len(ask), 256):
-        a, c = an[lo : lo + 256], ac[lo : lo + 256]
-        d = np.zeros((len(a), len(give)))
-        for j in range(numbers):
-            step = np.abs(a[:, j, None] - gn[None, :, j])
+def _lists(column: pa.ChunkedArray, width: int, kind) -> np.ndarray:
+    """Lists of the same length as rows; nulls in them are NaN."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
+    return flat.to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), width)
+
+
+def _search_part(numbers: np.ndarray, categories: np.ndarray, ask: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The K closest donors of each recipient, or as many as there are: place in ask, row of the donor, distance.
+
+    numbers and categories: of all rows, donors of a part side by side and by key; first, count: where those of each recipient are.
+    """
+    rows, found, far = [], [], []
+    lo = 0
+    while lo < len(ask):
+        # Recipients come by rising number of donors: those of a chunk have nearly as many.
+        most = np.maximum.accumulate(count[lo:]) * np.arange(1, len(ask) - lo + 1)
+        hi = lo + max(1, int(np.searchsorted(most, CHUNK, side="right")))
+        me, width = ask[lo:hi], int(count[hi - 1])
+        at = np.arange(width)
+        there = at < count[lo:hi, None]
+        donor = np.minimum(first[lo:hi, None] + at, len(numbers) - 1)
+        d = np.where(there, 0.0, np.inf)
+        for j in range(numbers.shape[1]):
+            step = np.abs(numbers[me, j][:, None] - numbers[:, j][donor])
             d += np.where(np.isnan(step), FAR, np.minimum(step, 4 * FAR))
-        for j in range(categories):
-            d += (c[:, j, None] != gc[None, :, j]) | (c[:, j, None] == 0)
-        row, at = _closest(d, K)
+        for j in range(categories.shape[1]):
+            own = categories[me, j][:, None]
+            d += (own != categories[:, j][donor]) | (own == 0)
+        row, column = _closest(d, K)
+        real = there[row, column]
+        row, column = row[real], column[real]
         rows.append(row + lo)
-        places.append(at)
-        far.append(d[row, at])
-    at = np.concatenate(places)
-    offsets = np.searchsorted(np.concatenate(rows), np.arange(len(ask) + 1))
-    columns = [np.concatenate(far), keys[at], number[at], category[at]]
-    near = pa.StructArray.from_arrays([pa.array(x, f.type, from_pandas=True) for x, f in zip(columns, _NEAR, strict=True)], fields=list(_NEAR))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), near)
+        found.append(donor[row, column])
+        far.append(d[row, column])
+        lo = hi
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(far)
 
 
 def _searcher(numbers: int, categories: int):
     schema = pa.schema([("key", pa.int64()), ("field", pa.string()), ("level", pa.int32()), ("near", pa.list_(_NEAR))])
 
     def search(data: pa.Table) -> pa.Table:
-        parts = [schema.empty_table()]
-        for (name, level, *_), g in data.to_pandas().groupby(["field", "level", "hash", "part", "ask_part"], sort=False, dropna=False):
-            ask, give = g[~g["donor"]], g[g["donor"]]
-            if ask.empty:
-                continue
-            n = len(ask)
-            near = pa.array([[]] * n, pa.list_(_NEAR)) if give.empty else _search_part(ask, give, numbers, categories)
-            parts.append(pa.table([pa.array(ask["key"].to_numpy()), pa.array([name] * n), pa.array(np.full(n, level, dtype=np.int32)), near], schema=schema))
-        return pa.concat_tables(parts)
+        column = {c: data.column(c).to_numpy() for c in ("hash", "part", "ask_part", "donor", "key")}
+        by = np.lexsort((column["key"], ~column["donor"], column["ask_part"], column["part"], column["hash"]))  # donors first
+        data = data.take(pa.array(by))
+        column = {c: x[by] for c, x in column.items()}
+        new = np.ones(len(by), dtype=bool)
+        for i, c in enumerate(("hash", "part", "ask_part")):
+            same = column[c][1:] == column[c][:-1]
+            new[1:] = ~same if i == 0 else new[1:] | ~same
+        group = np.cumsum(new) - 1
+        donors = np.bincount(group, weights=column["donor"]).astype(np.int64)
+        ask = np.flatnonzero(~column["donor"])
+        if not len(ask):
+            return schema.empty_table()
+        ask = ask[np.argsort(donors[group[ask]], kind="stable")]
+        first = np.flatnonzero(new)[group[ask]]
+        row, donor, far = _search_part(_lists(data.column("numbers"), numbers, float), _lists(data.column("categories"), categories, np.int64), ask, first, donors[group[ask]])
+        taken = data.select(["key", "number", "category"]).take(pa.array(donor)).combine_chunks()
+        near = pa.StructArray.from_arrays([pa.array(far, pa.float64()), *(taken.column(c).combine_chunks().cast(_NEAR.field(i + 1).type) for i, c in enumerate(taken.column_names))], fields=list(_NEAR))
+        offsets = np.searchsorted(row, np.arange(len(ask) + 1)).astype(np.int32)
+        mine = data.select(["key", "field", "level"]).take(pa.array(ask))
+        return pa.table([*mine.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), near)], names=schema.names).cast(schema)
 
     return search
 
@@ -194,7 +219,8 @@ def hot_deck(df: DataFrame, key: str, plan: Plan) -> DataFrame:
     used = used.withColumn("parts", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(1))).withColumn("ask_parts", F.ceil(F.col("m") / BLOCK_ROWS))
     used = checkpointed(used)
     rows = used.agg(F.sum(F.col("m") * F.col("parts") + F.col("n") * F.col("ask_parts"))).first()[0] or 0
-    buckets = parts_for(rows, ROWS_A_BUCKET // 10)
+    buckets = parts_for(rows, ROWS_A_BUCKET)
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
     used = broadcast_if_small(used.drop("n", "m"))
     columns = ["key", "numbers", "categories", "field", "number", "category", "donor", "level", "hash", "part", "ask_part"]
     dealt = lambda parts: F.pmod(F.xxhash64("key", F.lit(7)), F.col(parts))
@@ -208,6 +234,7 @@ def hot_deck(df: DataFrame, key: str, plan: Plan) -> DataFrame:
         give.select(*columns)
         .unionByName(ask.select(*columns))
         .withColumn("bucket", F.pmod(F.xxhash64("field", "level", "hash", "part", "ask_part"), F.lit(buckets)))
+        .repartition(tasks, "bucket")
         .groupBy("bucket")
         .applyInArrow(_searcher(len(plan.numbers), len(plan.categories)), NEAREST)
     )
@@ -235,7 +262,7 @@ def category_or_null(c: str, known: Sequence[str]) -> Column:
     return F.when(x.isin(*known), x)
 
 
-#: What a played note can have: f0 in Hz, external amplitude in Pa, instrument.
+#: What a played note can have: f0 in Hz and external amplitude in Pa, above the first and up to the second; instrument.
 NOTE_LIMITS = {"f0_avg": (59.999, 1600.0), "ext_ampl_avg": (0.0, 120.0)}
 INSTRUMENTS = ("lab", "own")
 

@@ -140,8 +140,8 @@ def nearest_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str
 
 
 def tolerant_union(first: DataFrame, second: DataFrame, keys: Sequence[str], tolerance: float, t: str = "t") -> DataFrame:
-    """All times of first, and those of second that are farther than tolerance from each of them."""
+    """All times of first, and those of second that aren't nearer than tolerance to any of them."""
     near = first.select(*keys, (F.col(t) - tolerance).alias("start"), (F.col(t) + tolerance).alias("end"))
-    held = interval_join(second, near, keys, t=t, bucket=max(BUCKET_SECONDS, 4 * tolerance)).select(*keys, t).distinct()
+    held = interval_join(second, near, keys, t=t, closed="neither", bucket=max(BUCKET_SECONDS, 4 * tolerance)).select(*keys, t).distinct()
     rest = second.select(*keys, t).join(held, [*keys, t], "left_anti")
     return first.select(*keys, t).unionByName(rest)

@@ -86,37 +86,55 @@ def correlation_delay(x: np.ndarray, y: np.ndarray) -> tuple[int, float]:
     return at - size if at > size // 2 else at, float(c[at]) / max(1, min(len(x), len(y)))
 
 
-def find_peaks(x: np.ndarray, prominence: float = 0.0, distance: int = 1, height: float = -np.inf) -> np.ndarray:
-    """Places higher than both neighbours (middle of a flat top), by height, then distance (highest first), then prominence."""
+def _last_above(x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each place (ascending) the last one before it with a higher value, -1 if there is none: a stack of falling values."""
+    out, stack, at = np.full(len(places), -1), [], 0
+    for n, p in enumerate(places.tolist()):
+        for i in range(at, p):
+            v = x[i]
+            while stack and x[stack[-1]] <= v:
+                stack.pop()
+            stack.append(i)
+        at = p
+        while stack and x[stack[-1]] <= x[p]:
+            stack.pop()
+        out[n] = stack[-1] if stack else -1
+    return out
+
+
+def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
+    """Height of each peak above the higher of the two lowest values on the way to higher ground, or the end, on either side."""
+    if not len(peaks):
+        return np.zeros(0)
+    values = x.tolist()
+    left = _last_above(values, peaks) + 1
+    right = len(x) - 1 - (_last_above(values[::-1], len(x) - 1 - peaks[::-1])[::-1] + 1)
+    low = np.minimum.reduceat(np.append(x, np.inf), np.stack([left, peaks + 1], axis=1).ravel())[::2]
+    high = np.minimum.reduceat(np.append(x, np.inf), np.stack([peaks, right + 1], axis=1).ravel())[::2]
+    return x[peaks] - np.maximum(low, high)
+
+
+def find_peaks(x: np.ndarray, prominence: float = 0.0, distance: int = 1, height: float = -np.inf, most: float = np.inf) -> np.ndarray:
+    """Places higher than both neighbours (middle of a flat top), by height (and at most `most`), then distance (highest first), then prominence."""
     x = np.asarray(x, dtype=float)
-    peaks, i = [], 1
-    while i < len(x) - 1:
-        if x[i - 1] < x[i]:
-            j = i
-            while j + 1 < len(x) and x[j + 1] == x[i]:
-                j += 1
-            if j + 1 < len(x) and x[j + 1] < x[i]:
-                peaks.append((i + j) // 2)
-            i = j + 1
-        else:
-            i += 1
-    peaks = [p for p in peaks if x[p] >= height]
+    if len(x) < 3:
+        return np.zeros(0, dtype=int)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))  # starts of flat stretches
+    last = np.append(first[1:], len(x)) - 1
+    v = x[first]
+    top = np.zeros(len(v), dtype=bool)
+    top[1:-1] = (v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])
+    peaks = ((first + last) // 2)[top]
+    peaks = peaks[(x[peaks] >= height) & (x[peaks] <= most)]
     if distance > 1:
-        kept: list[int] = []
-        for p in sorted(peaks, key=lambda p: (-x[p], p)):
-            if all(abs(p - q) >= distance for q in kept):
-                kept.append(p)
-        peaks = sorted(kept)
-    out = []
-    for p in peaks:
-        left, right = p, p
-        while left > 0 and x[left - 1] <= x[p]:
-            left -= 1
-        while right < len(x) - 1 and x[right + 1] <= x[p]:
-            right += 1
-        if x[p] - max(x[left : p + 1].min(), x[p : right + 1].min()) >= prominence:
-            out.append(p)
-    return np.array(out, dtype=int)
+        free = np.ones(len(peaks), dtype=bool)
+        kept = np.zeros(len(peaks), dtype=bool)
+        for i in np.lexsort((peaks, -x[peaks])).tolist():
+            if free[i]:
+                kept[i] = True
+                free[np.searchsorted(peaks, peaks[i] - distance, side="right") : np.searchsorted(peaks, peaks[i] + distance)] = False
+        peaks = peaks[kept]
+    return peaks[prominences(x, peaks) >= prominence] if prominence > 0 else peaks
 
 
 def frame_centroid(samples: str) -> Column:

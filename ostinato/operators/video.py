@@ -7,17 +7,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.operators.grouped import per_group
+from ostinato.operators import blocks
+from ostinato.operators.grouped import per_group, streamed
 from ostinato.session import present
 
 LISTED = 1024  # points of which all pairs are listed
 
 
-def kalman_smooth(z: np.ndarray, observation=(0.05, 0.001), process=(0.15, 0.015, 0.25, 0.05, 0.1, 0.025), calm: float = 1.0) -> np.ndarray:
+#: Variance and covariance of an observed position; of the process variance and covariance of position,
+#: of velocity, and covariance of position with velocity along the same axis and along the other.
+OBSERVED = (0.05, 0.001)
+PROCESS = {"position": (0.15, 0.015), "velocity": (0.25, 0.05), "same_axis": 0.1, "other_axis": 0.025}
+
+
+def kalman_smooth(z: np.ndarray, observation=OBSERVED, process=PROCESS, calm: float = 1.0) -> np.ndarray:
     """Positions (tracks, time, 2) of points moving at near constant velocity, smoothed forwards and backwards; NaN is missing.
 
-    observation: variance and covariance of a measured position; process: variance and covariance of position,
-    of velocity, and covariances of position with velocity along the same axis and the other, divided by `calm`.
+    observation and process: as OBSERVED and PROCESS, the latter divided by `calm`.
     All tracks go through a step together; missing positions at the end of shorter ones change nothing. A track
     without any position stays NaN.
     """
@@ -25,7 +31,7 @@ def kalman_smooth(z: np.ndarray, observation=(0.05, 0.001), process=(0.15, 0.015
     tracks, n = seen.shape
     x = np.where(seen[:, :, None], z, 0.0)
     count = seen.sum(axis=1)
-    a, b, c, d, e, f = process
+    (a, b), (c, d), e, f = process["position"], process["velocity"], process["same_axis"], process["other_axis"]
     move = np.array([[1, 0, 1, 0], [0, 1, 0, 1], [0, 0, 1, 0], [0, 0, 0, 1]], dtype=float)
     q = np.array([[a, b, e, f], [b, a, f, e], [e, f, c, d], [f, e, d, c]]) / calm
     r = np.array([[observation[0], observation[1]], [observation[1], observation[0]]])
@@ -50,23 +56,48 @@ def kalman_smooth(z: np.ndarray, observation=(0.05, 0.001), process=(0.15, 0.015
     return np.where((count > 0)[:, None, None], out.transpose(1, 0, 2)[:, :, :2], np.nan)
 
 
+def forward_step(m: np.ndarray | None, p: np.ndarray | None, seen: np.ndarray | None, observation=OBSERVED, process=PROCESS) -> tuple[np.ndarray, np.ndarray]:
+    """Mean (x, y and their velocities) and covariance of a point after one more frame; m: None before the first one, seen: None if it wasn't."""
+    (a, b), (c, d), e, f = process["position"], process["velocity"], process["same_axis"], process["other_axis"]
+    if m is None:
+        m, p = np.array([*seen, 0.0, 0.0]), np.eye(4)
+    else:
+        move = np.eye(4) + np.eye(4, k=2)
+        m, p = move @ m, move @ p @ move.T + np.array([[a, b, e, f], [b, a, f, e], [e, f, c, d], [f, e, d, c]])
+    if seen is not None:
+        (u, w) = observation
+        gain = p[:, :2] @ np.linalg.inv(p[:2, :2] + np.array([[u, w], [w, u]]))
+        m, p = m + gain @ (seen - m[:2]), p - gain @ p[:2]
+    return m, p
+
+
 def smooth_tracks(z: np.ndarray, far: float = 50.0) -> tuple[np.ndarray, np.ndarray]:
     """Smoothed tracks without outliers, and which positions those are: more than `far` from a very calm track."""
     out = np.sqrt(((z - kalman_smooth(z, calm=1e5)) ** 2).sum(axis=2)) > far
     return kalman_smooth(np.where(out[:, :, None], np.nan, z)), out
 
 
+#: Rows of a track that are smoothed at a time, and how many more on either side: what lies farther away has no weight left.
+TRACK_ROWS, TRACK_HALO = 8192, 1024
+
+
 def smooth_marks(marks: DataFrame, keys: list[str], order: str, key: str, together: int = 256) -> DataFrame:
-    """Tracks (keys, order, key, x, y) smoothed: keys, key, smooth_x, smooth_y, is_outlier. A track is held by one task."""
+    """Tracks (keys, order, key, x, y) smoothed: keys, key, smooth_x, smooth_y, is_outlier.
+
+    A track longer than TRACK_ROWS is smoothed in parts that overlap. Rows without a key, time or place in order are none.
+    """
     types = {f.name: f.dataType.simpleString() for f in marks.schema.fields}
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"`{key}` {types[key]}", "smooth_x double, smooth_y double, is_outlier boolean"])
-    buckets = 4 * int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([*keys, order, key], kind="stable", ignore_index=True)
-        track = g.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
-        place = g.groupby(keys, dropna=False, sort=False).cumcount().to_numpy()
-        length = np.bincount(track)
+    rows = blocks.numbered(marks.select(*keys, order, key, "x", "y").filter(F.col(order).isNotNull()), keys, [order, key], blocks.SECONDS * 1000, "__pos")
+    rows = blocks.tidy(rows.withColumn("__at", F.col("__pos")))
+    own, rest = F.floor(F.col("__at") / TRACK_ROWS), F.col("__at") % TRACK_ROWS
+    before, after = F.when((rest < TRACK_HALO) & (own > 0), own - 1), F.when(rest >= TRACK_ROWS - TRACK_HALO, own + 1)
+    rows = rows.withColumn("__part", F.explode(F.array_compact(F.array(own, before, after)))).withColumn("__own", own == F.col("__part"))
+
+    def run(g: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        length = np.diff(np.append(starts, len(g)))
+        track = np.repeat(np.arange(len(length)), length)
+        place = np.arange(len(g)) - starts[track]
         xy, out = np.full((len(g), 2), np.nan), np.zeros(len(g), dtype=bool)
         by_length = np.argsort(length, kind="stable")
         turn = np.empty_like(by_length)
@@ -75,13 +106,12 @@ def smooth_marks(marks: DataFrame, keys: list[str], order: str, key: str, togeth
             i = np.flatnonzero((turn[track] >= lo) & (turn[track] < lo + together))
             row = turn[track[i]] - lo
             z = np.full((row.max() + 1, place[i].max() + 1, 2), np.nan)
-            z[row, place[i]] = g.loc[i, ["x", "y"]].to_numpy(dtype=float)
+            z[row, place[i]] = g[["x", "y"]].to_numpy(dtype=float)[i]
             smooth, far = smooth_tracks(z)
             xy[i], out[i] = smooth[row, place[i]], far[row, place[i]]
-        return g[[*keys, key]].assign(smooth_x=xy[:, 0], smooth_y=xy[:, 1], is_outlier=out)
+        return g[[*keys, key]].assign(smooth_x=xy[:, 0], smooth_y=xy[:, 1], is_outlier=out)[g["__own"].to_numpy()]
 
-    rows = marks.select(*keys, order, key, "x", "y").withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    return rows.groupBy("__bucket").applyInPandas(run, schema)
+    return streamed(rows, [*keys, "__part"], run, schema, ["__at"])
 
 
 def _inversions(place: np.ndarray) -> int:

@@ -81,6 +81,14 @@ def p1_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumns({"increment": F.round("increment", 6), "covered": F.round("covered", 6)})
 
 
+@registry.query("p1_counter_with_resets", registry.sql["p1_counter"].replace("CAST(r.frame_idx AS DOUBLE)", "CAST(r.frame_idx % 100 AS DOUBLE)"))
+def p1_counter_with_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a counter that starts again from 0 after every 100 frames."""
+    r = table(spark, sf_dir, "readings").withColumn("v", (F.col("frame_idx") % 100).cast("double"))
+    g = grid.counter_grid(r, table(spark, sf_dir, "series"))
+    return g.withColumns({"increment": F.round("increment", 6), "covered": F.round("covered", 6)})
+
+
 @registry.query("p2_found")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faulty readings."""
@@ -93,13 +101,12 @@ def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faults.flag_faults(table(spark, sf_dir, "readings"), table(spark, sf_dir, "label_limits"))
 
 
-_MISSING = """
+_NO_NUMBER = "SELECT note_key, '{0}' AS field FROM n WHERE {0} IS NULL OR isnan({0}) OR {0} <= {1} OR {0} > {2}"
+_MISSING = f"""
 WITH n AS (SELECT DISTINCT note_key, f0_avg, ext_ampl_avg, instrument FROM notes)
-SELECT note_key, 'f0_avg' AS field FROM n WHERE f0_avg IS NULL OR isnan(f0_avg) OR f0_avg < 60 OR f0_avg > 1600
-UNION ALL
-SELECT note_key, 'ext_ampl_avg' FROM n WHERE ext_ampl_avg IS NULL OR isnan(ext_ampl_avg) OR ext_ampl_avg <= 0 OR ext_ampl_avg > 120
+{" UNION ALL ".join(_NO_NUMBER.format(c, *hotdeck.NOTE_LIMITS[c]) for c in hotdeck.NOTE_LIMITS)}
 UNION ALL
-SELECT note_key, 'instrument' FROM n WHERE instrument IS NULL OR lower(trim(instrument)) NOT IN ('lab', 'own')
+SELECT note_key, 'instrument' FROM n WHERE instrument IS NULL OR lower(trim(instrument)) NOT IN {hotdeck.INSTRUMENTS}
 """
 
 

@@ -258,7 +258,7 @@ def union_missing_columns(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.query(
     "tolerant_union",
-    _sql("""SELECT file, t FROM a UNION ALL SELECT file, t FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.file = b.file AND b.t BETWEEN a.t - 0.05 AND a.t + 0.05)""",
+    _sql("""SELECT file, t FROM a UNION ALL SELECT file, t FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.file = b.file AND b.t > a.t - 0.05 AND b.t < a.t + 0.05)""",
          N, K, 'a AS (SELECT DISTINCT file, "start" AS t FROM k)', 'b AS (SELECT DISTINCT file, "start" AS t FROM n)'),
 )
 def tolerant_union(spark: SparkSession, d: str) -> DataFrame:

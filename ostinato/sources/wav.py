@@ -41,38 +41,67 @@ def decode(content: bytes, raw: bool = False) -> tuple[np.ndarray, int]:
 
 
 def encode(samples: np.ndarray, rate: int, peak: bool = True) -> bytes:
-    """One channel as 16-bit WAV, normalised to its peak."""
+    """Samples (rows: time; columns, if any: channels) as 16-bit WAV, each channel normalised to its peak."""
     x = np.asarray(samples, dtype=np.float64)
-    top = np.abs(x).max() if peak and len(x) else 1.0
+    x = x.reshape(len(x), -1)
+    top = np.abs(x).max(axis=0) if peak and len(x) else np.ones(x.shape[1])
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
-        w.setnchannels(1)
+        w.setnchannels(x.shape[1])
         w.setsampwidth(2)
         w.setframerate(rate)
-        w.writeframes(np.clip(np.round(x / (top or 1.0) * 32767), -32768, 32767).astype("<i2").tobytes())
+        w.writeframes(np.clip(np.round(x / np.where(top > 0, top, 1.0) * 32767), -32768, 32767).astype("<i2").tobytes())
     return out.getvalue()
 
 
+def _pieces(content: bytes, block: int, overlap: int, raw: bool) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """Block number, first sample, own samples, rate and samples of the blocks of a file, of which one is decoded at a time."""
+    with wave.open(io.BytesIO(content)) as w:
+        width, channels, rate, n = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.getnframes()
+        for i, start in enumerate(range(0, max(n, 1), block)):
+            w.setpos(min(start, n))
+            x = _samples(w.readframes(block + overlap), width, channels)
+            yield i, start, min(block, n - start), rate, (x if raw else x / _SCALE[width])
+
+
+def _samples(data: bytes, width: int, channels: int) -> np.ndarray:
+    b = np.frombuffer(data, dtype=np.uint8)
+    b = b[: len(b) // (width * channels) * width * channels]
+    if width == 1:
+        x = b.astype(np.float64) - 128
+    elif width == 3:
+        b = b.reshape(-1, 3).astype(np.int32)
+        x = (((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8) >> 8).astype(np.float64)
+    else:
+        x = b.view("<i2" if width == 2 else "<i4").astype(np.float64)
+    return x.reshape(-1, channels)
+
+
+def decode(content: bytes, raw: bool = False) -> tuple[np.ndarray, int]:
+    """Samples (rows: time, columns: channels) and rate of a WAV file."""
+    _, _, _, rate, x = next(_pieces(content, 1 << 62, 0, raw))
+    return x, rate
+
+
 def read_blocks(spark: SparkSession, path: str, block: int = 1 << 18, overlap: int = 512, raw: bool = False) -> DataFrame:
     """Blocks of all channels of the audio files under path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", "true").load(path)
+    return decoded(files, block, overlap, raw)
+
+
+def decoded(files: DataFrame, block: int = 1 << 18, overlap: int = 512, raw: bool = False) -> DataFrame:
+    """Blocks of files (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in batches:
             for name, content in zip(g["path"], g["content"], strict=True):
                 try:
-                    x, rate = decode(content, raw)
+                    for i, start, own, rate, x in _pieces(content, block, overlap, raw):
+                        yield pd.DataFrame(
+                            {"path": name, "channel": np.arange(x.shape[1]), "block": i, "t0": start / rate, "rate": rate, "samples": list(x.T.astype(np.float32)), "own": own, "error": None}
+                        )
                 except (wave.Error, EOFError, ValueError, KeyError) as e:
                     yield pd.DataFrame({"path": [name], "channel": None, "block": None, "t0": None, "rate": None, "samples": None, "own": None, "error": str(e) or type(e).__name__})
-                    continue
-                for i, start in enumerate(range(0, max(len(x), 1), block)):
-                    part = x[start : start + block + overlap]
-                    yield pd.DataFrame(
-                        {
-                            "path": name, "channel": np.arange(x.shape[1]), "block": i, "t0": start / rate, "rate": rate,
-                            "samples": list(part.T.astype(np.float32)), "own": min(block, len(x) - start), "error": None,
-                        }
-                    )
 
     return files.select("path", "content").mapInPandas(run, BLOCKS)
 

@@ -98,9 +98,9 @@ def test_parts_are_even_and_leave_no_recipient_without_donors(spark, monkeypatch
     """All donors of a hot block share a duration; its recipients have another or none."""
     search = hotdeck._search_part
 
-    def bounded(ask, give, *rest):
-        assert max(len(ask), len(give)) < 700
-        return search(ask, give, *rest)
+    def bounded(numbers, categories, ask, first, count):
+        assert max(np.unique(first, return_counts=True)[1].max(), count.max()) < 700
+        return search(numbers, categories, ask, first, count)
 
     monkeypatch.setattr(hotdeck, "BLOCK_ROWS", 500)
     monkeypatch.setattr(hotdeck, "_search_part", bounded)
@@ -110,3 +110,35 @@ def test_parts_are_even_and_leave_no_recipient_without_donors(spark, monkeypatch
     got = hot_deck(df, "k", Plan({"y": Field(F.col("y"), [["g"]])}, numbers=["x"], rank_by="x")).collect()
     assert len(got) == 2000
     assert {(r["number"], tuple(r["donors"])) for r in got} == {(7.0, (0, 1, 2, 3, 4))}
+
+
+def test_hot_block_of_many_donors_as_brute_force(spark):
+    """A third of all rows in one block, 60,000 donors: the nearest five of each recipient, whatever part they are in."""
+    n = 90_000
+    df = spark.range(n).selectExpr("id k", "if(id % 3 < 2, 'hot', cast(id % 1000 as string)) g", "rand(5) x", "cast(floor(rand(6) * 4) as int) c", "if(id % 600 = 0, null, rand(7)) y").persist()
+    got = {r["key"]: r for r in hot_deck(df, "k", Plan({"y": Field(F.col("y"), [["g"]])}, numbers=["x"], categories=["c"])).collect()}
+    rows = df.collect()
+    q = df.agg(F.percentile_approx("x", [0.25, 0.75], 1000)).first()[0]
+    hot = [r for r in rows if r["g"] == "hot" and r["y"] is not None]
+    x, c, k = (np.array([r[f] for r in hot]) for f in ("x", "c", "k"))
+    asked = [r for r in rows if r["y"] is None]
+    assert len(got) == len(asked) == 150
+    for r in asked:
+        d = np.abs(x / (q[1] - q[0]) - r["x"] / (q[1] - q[0])) + (c != r["c"])
+        assert got[r["k"]]["donors"] == k[np.lexsort((k, d))[:5]].tolist()
+    df.unpersist()
+
+
+def test_masked_values_come_back(spark):
+    """Known frequencies taken away from the notes of the small tables: the filled ones are as near as donors of one note are."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(folder):
+        return
+    n = spark.read.parquet(f"{folder}/notes.parquet")
+    known = F.col("f0_avg").between(60, 1600) & (F.pmod(F.xxhash64("note_key"), F.lit(20)) == 0)
+    masked = n.withColumn("f0_avg", F.when(~known, F.col("f0_avg")))
+    got = hotdeck.fill_notes(masked).filter("field = 'f0_avg' AND n_donors > 0").join(n.filter(known).select("note_key", F.col("f0_avg").alias("was")).distinct(), "note_key")
+    cents = got.agg(F.percentile(F.abs(1200 * F.log2(F.col("number") / F.col("was"))), F.array(F.lit(0.5), F.lit(0.95))).alias("q")).first()["q"]
+    assert cents[0] < 8 and cents[1] < 40

@@ -59,13 +59,14 @@ def test_lerp(spark):
     assert got == {-1.0: 1.0, 0.0: 1.0, 0.5: 2.0, 1.0: 3.0, 3.0: 5.0, 9.0: 7.0}
 
 
+#: A documented example of a union with tolerance, what is exactly as far away being kept.
 def test_tolerant_union_known_answers(spark):
     def union(x, y):
         a, b = (spark.createDataFrame([("k", float(v)) for v in s], "key string, t double") for s in (x, y))
         return sorted(r["t"] for r in intervals.tolerant_union(a, b, ["key"], 1.0).collect())
 
     assert union([0, 1, 2, 3], [0, 1.1, 5, 6]) == [0, 1, 2, 3, 5, 6]
-    assert union([0, 0.5, 1, 2, 4], [-1.2, 0.7, 1.1, 3, 4.1]) == [-1.2, 0, 0.5, 1, 2, 4]
+    assert union([0, 0.5, 1, 2, 4], [-1.2, 0.7, 1.1, 3, 4.1]) == [-1.2, 0, 0.5, 1, 2, 3, 4]
 
 
 def test_nearest_interval(spark):

@@ -1,7 +1,11 @@
 import datetime as dt
+import shutil
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ostinato.operators import video
+from ostinato.sources import wav
 from ostinato.streaming import regions
 
 
@@ -46,3 +50,30 @@ def test_forgetting_tracker(spark, tmp_path):
     df = source(spark, tmp_path, rows, "key string, t double, v double").withColumn("v", F.col("v"))
     got = sorted((r["t"], r["v"], r["held"]) for r in drain(regions.forgetting_tracker(df, "key", "t", "v", 1.0), tmp_path))
     assert got == [(0.0, 7.0, False), (0.5, 7.0, True), (1.0, 7.0, True), (1.6, None, False), (2.0, 9.0, False)]
+
+
+def test_kalman_forward_as_the_first_pass_of_the_smoother(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [("m", float(i), float(3 * i + rng.normal()) if i % 7 else None, float(100 - i)) for i in range(1, 60)]
+    got = {r["t"]: (r["x"], r["y"]) for r in drain(regions.kalman_forward(source(spark, tmp_path, rows, "key string, t double, x double, y double"), "key", "t"), tmp_path)}
+    m = p = None
+    for _, t, x, y in rows:
+        m, p = video.forward_step(m, p, np.array([x, y]) if x is not None else None)
+        assert got[t] == (m[0], m[1])
+    assert abs(m[0] - 3 * 59) < 3 and abs(m[3] + 1) < 0.5
+
+
+def test_a_batch_that_is_run_again_replaces_itself(spark, tmp_path):
+    rows = [("a", 1.0), ("b", 2.0)]
+    folder = str(tmp_path / "out")
+    df = source(spark, tmp_path, rows, "key string, v double")
+    assert regions.drained(df, folder).count() == 2
+    shutil.rmtree(f"{folder}/progress/commits")  # as if lost after it was written
+    assert regions.drained(df, folder).count() == 2
+
+
+def test_audio_blocks_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.wav").write_bytes(wav.encode(np.sin(np.arange(5000) / 20), 1000))
+    got = drain(regions.audio_blocks(spark, str(tmp_path / "in"), 2048, 16), tmp_path)
+    assert sorted((r["block"], r["own"], len(r["samples"])) for r in got) == [(0, 2048, 2064), (1, 2048, 2064), (2, 904, 904)]
