@@ -77,11 +77,32 @@ def test_empty(spark):
 def test_tail_cutoff_ignores_faults():
     rng = np.random.default_rng(0)
     z = rng.exponential(0.5, 100_000)
-    size = int(faults.CENSOR / faults.BIN)
-    edges = np.arange(size) * faults.BIN
-    counts = np.histogram(z, bins=np.append(edges, np.inf))[0]
+    edges = np.arange(int(faults.CENSOR / faults.BIN)) * faults.BIN
+    counts = np.histogram(z, bins=np.append(edges, np.inf))[0].astype(float)
     beyond = int((z >= faults.CENSOR).sum())
-    clean = faults.tail_cutoff(edges, counts, beyond)
-    dirty = faults.tail_cutoff(edges, counts, beyond + 500)
+    counts[-1] -= beyond
+    clean = faults.tail_cutoff(counts, beyond)
+    dirty = faults.tail_cutoff(counts, beyond + 500)
     assert clean == pytest.approx(0.5 * math.log(1 / faults.RISK), rel=0.25)
     assert dirty == pytest.approx(clean, rel=0.1)
+
+
+@pytest.mark.parametrize("n, length", [(24_000, 500), (24_000, 3000), (24_000, 6500), (24_000, 8192), (110_000, 50_000)])
+def test_a_noisy_stretch_of_any_length_stands_still(spark, n, length):
+    rng = np.random.default_rng(length)
+    v = 100 + rng.normal(0, 1, n)
+    v[9000 : 9000 + length] = v[9000] + rng.normal(0, 1e-4, length)
+    df = spark.createDataFrame([(1, i, "f0", 0.01 * i, float(x), 0.0, "") for i, x in enumerate(v)], READ)
+    got = faults.flag_faults(df, spark.createDataFrame([("f0", 0.0, 1000.0, 0.0)], LIMITS)).filter("reason = 'still'").collect()
+    assert {r["frame_idx"] for r in got} == set(range(9000, 9000 + length))
+
+
+def test_a_missing_time_hides_no_spike(spark):
+    v = series(600, 5)
+    v[300] += 12
+    data = rows(1, v)
+    plain = faults.flag_faults(spark.createDataFrame(data, READ), spark.createDataFrame([("f0", 0.0, 1000.0, 0.0)], LIMITS)).collect()
+    for i, t in ((299, None), (301, math.nan)):
+        data[i] = (1, i, "f0", t, data[i][4], 0.0, "")
+    got = faults.flag_faults(spark.createDataFrame(data, READ), spark.createDataFrame([("f0", 0.0, 1000.0, 0.0)], LIMITS)).collect()
+    assert [(r["frame_idx"], r["reason"]) for r in got] == [(r["frame_idx"], r["reason"]) for r in plain] == [(300, "spike")]
