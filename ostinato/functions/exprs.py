@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Note names within an octave, reference pressure (Pa), MIDI number and Hz of A4, Bb transposition (semitones).
@@ -50,6 +52,22 @@ def ratio_db(a, b) -> Column:
     return F.when(x > 0, F.lit(20.0) * F.log10(x))
 
 
+def ratio_db_spread(a, a_var, b, b_var) -> Column:
+    """Variation of the ratio of two levels in dB, both variations carried to it to the first order; null where it isn't positive."""
+    x = col(a_var) / F.nullif(col(b), F.lit(0.0)) + col(b_var) * col(a) / F.nullif(col(b) * col(b), F.lit(0.0))
+    return F.when(x > 0, F.lit(20.0) * F.log10(x))
+
+
+def clipped(x, low, high) -> Column:
+    """x, not below low or above high."""
+    return F.greatest(F.lit(low) if isinstance(low, (int, float)) else col(low), F.least(F.lit(high) if isinstance(high, (int, float)) else col(high), col(x)))
+
+
+def total_angle(a, b) -> Column:
+    """Size of a turn about two axes at right angles."""
+    return F.hypot(col(a), col(b))
+
+
 # Pitch
 
 
@@ -124,6 +142,12 @@ def point_line(px, py, x1, y1, x2, y2) -> Column:
     return (dx * (col(py) - col(y1)) - dy * (col(px) - col(x1))) / F.nullif(F.hypot(dx, dy), F.lit(0.0))
 
 
+def along_line(px, py, x1, y1, x2, y2) -> Column:
+    """How far a point lies along the line through two points, from the first on; null if they coincide."""
+    dx, dy = col(x2) - col(x1), col(y2) - col(y1)
+    return (dx * (col(px) - col(x1)) + dy * (col(py) - col(y1))) / F.nullif(F.hypot(dx, dy), F.lit(0.0))
+
+
 def rotate(x, y, degrees) -> tuple[Column, Column]:
     a = F.radians(col(degrees))
     return col(x) * F.cos(a) - col(y) * F.sin(a), col(x) * F.sin(a) + col(y) * F.cos(a)
@@ -162,6 +186,12 @@ def complex_parts(re, im) -> tuple[Column, Column]:
 # Text
 
 
+def remapped(x, mapping: Mapping[str, str]) -> Column:
+    """x in small letters without outer blanks, replaced where the mapping has it."""
+    key = F.lower(F.trim(col(x)))
+    return F.coalesce(F.create_map(*[F.lit(v) for kv in mapping.items() for v in kv])[key], key) if mapping else key
+
+
 def leading_number(label) -> Column:
     return F.regexp_extract(col(label), r"^\s*(\d+)", 1).try_cast("int")
 
@@ -204,6 +234,11 @@ def seconds(text) -> Column:
     return F.when(unit.startswith("ms") | unit.startswith("milli"), number / 1000).when(unit == "min", number * 60).otherwise(number)
 
 
+def without_prefix(df: DataFrame, prefix: str) -> DataFrame:
+    """df with the columns that start with prefix renamed to what follows it."""
+    return df.withColumnsRenamed({c: c[len(prefix) :] for c in df.columns if c.startswith(prefix) and len(c) > len(prefix)})
+
+
 # Means that don't depend on the order of rows
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ostinato.operators import sync, windows
@@ -127,3 +127,55 @@ def interesting_points(x: np.ndarray, rate: float, count: int = 2, apart: float
     peaks = peaks[(peaks >= n) & (peaks < len(db) - n)]
     best = peaks[np.argsort(-db[peaks].sum(axis=1), kind="stable")][:count]
     return np.sort(best) * hop / rate
+
+
+def chunk_delays(a: DataFrame, b: DataFrame, keys: list[str], size: int, count: int = 3) -> DataFrame:
+    """Samples by which b comes later than a (audio blocks of the same keys), by the best of `count` chunks of a that are found in b.
+
+    The chunks of `size` samples are those of the blocks of a that hold most energy; each is sought in every block of b, which
+    must overlap by `size`. keys, delay, correlation (of 1 at most), n_chunks.
+    """
+    rate = F.col("rate")
+    first = F.round(F.col("t0") * rate).cast("long")
+    energy = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x * x)
+    chunks = a.filter(F.size("samples") >= size).select(*keys, first.alias("__at"), F.slice("samples", 1, size).alias("__chunk"), energy.alias("__e"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("__e"), "__at")
+    chunks = chunks.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= count)
+    pairs = b.filter(F.size("samples") >= size).select(*keys, first.alias("__first"), "samples").join(chunks, keys)
+
+    def seek(chunk: pd.Series, samples: pd.Series) -> pd.DataFrame:
+        out = []
+        for c, x in zip(chunk, samples, strict=True):
+            ref, x = np.asarray(c, dtype=float), np.asarray(x, dtype=float)
+            ref = ref - ref.mean()
+            n = 1 << (len(x) + len(ref)).bit_length()
+            c = np.fft.irfft(np.conj(np.fft.rfft(ref, n)) * np.fft.rfft(x, n), n)[: len(x) - len(ref) + 1]
+            own = np.lib.stride_tricks.sliding_window_view(x, len(ref))
+            norm = np.sqrt(np.maximum((own * own).sum(axis=1) - own.mean(axis=1) ** 2 * len(ref), 0)) * np.sqrt((ref * ref).sum())
+            r = np.where(norm > 1e-9, c / np.where(norm > 1e-9, norm, 1.0), 0.0)
+            out.append((int(r.argmax()), float(r.max())))
+        return pd.DataFrame(out, columns=["at", "correlation"])
+
+    hit = pairs.withColumn("__m", F.pandas_udf(seek, "at long, correlation double")("__chunk", "samples"))
+    delay = F.col("__first") + F.col("__m.at") - F.col("__at")
+    best = hit.groupBy(*keys).agg(F.max(F.struct(F.round("__m.correlation", 9).alias("c"), (-F.abs(delay)).alias("near"), delay.alias("delay"))).alias("b"), F.countDistinct("__at").alias("n_chunks"))
+    return best.select(*keys, F.col("b.delay").alias("delay"), F.col("b.c").alias("correlation"), "n_chunks")
+
+
+def interesting_places(blocks: DataFrame, count: int = 2, apart: float = 1.0, hop_s: float = 0.1, size: int = 2048) -> DataFrame:
+    """The `count` loudest places of each file and channel at which the spectrum varies most, in order of time: path, channel, t.
+
+    The best places of each block are found by interesting_points, the best of all blocks by their level.
+    """
+
+    def run(batches):
+        for g in batches:
+            for b in g.itertuples(index=False):
+                x = np.asarray(b.samples, dtype=float)
+                t = interesting_points(x, b.rate, count, apart, hop_s, size)
+                level = [float((x[int(s * b.rate) : int(s * b.rate) + size] ** 2).sum()) for s in t]
+                yield pd.DataFrame({"path": b.path, "channel": b.channel, "t": t + b.t0, "level": level})
+
+    found = blocks.mapInPandas(run, "path string, channel int, t double, level double")
+    w = Window.partitionBy("path", "channel").orderBy(F.desc("level"), "t")
+    return found.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= count).select("path", "channel", "t")

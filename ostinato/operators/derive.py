@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ostinato.operators import intervals
 from ostinato.operators.windows import ordered, running_before
+from ostinato.session import broadcast_if_small, checkpointed
 
 
 def error_bits(bits: Mapping[int, Column]) -> Column:
@@ -45,6 +46,24 @@ def local_tempo(notes: DataFrame, keys: Sequence[str], key: str, radius: float)
     return g.select(key, "tempo", (60 / F.nullif(F.col("own"), F.lit(0.0))).alias("own_tempo"))
 
 
+def beats_around(notes: DataFrame, keys: Sequence[str], order: Sequence[str], bar: float) -> DataFrame:
+    """Tempo in beats a minute of each strict note (beats, seconds, strict): own_tempo, and tempo, of the strict notes whose beats overlap a bar on either side."""
+    w = ordered(keys, *order)
+    x = notes.withColumn("start", running_before(F.col("beats"), w)).filter("strict")
+    a = x.select(*keys, *order, "beats", "seconds", (F.col("start") - bar).alias("start"), (F.col("start") + bar).alias("end"))
+    b = x.select(*keys, F.col("start").alias("other_start"), (F.col("start") + F.col("beats")).alias("other_end"), F.col("beats").alias("other_beats"), F.col("seconds").alias("other_seconds"))
+    near = intervals.overlapping(a, b, keys, bucket=4 * bar)
+    g = near.groupBy(*keys, *order, "beats", "seconds").agg((60 * F.sum("other_beats") / F.nullif(F.sum(F.col("other_seconds").cast("decimal(28,6)")).cast("double"), F.lit(0.0))).alias("tempo"))
+    return g.select(*keys, *order, "tempo", (60 * F.col("beats") / F.nullif(F.col("seconds"), F.lit(0.0))).alias("own_tempo"), (60 * F.col("beats") / F.nullif(F.col("tempo"), F.lit(0.0))).alias("expected"))
+
+
+def bar_positions_reset(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """beat_in_bar: the beats since the last strong note, counted from the start before the first one."""
+    w = ordered(keys, *order)
+    x = df.withColumn("__bar", F.sum(F.col("strong").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.withColumn("beat_in_bar", running_before(F.col("beats"), ordered([*keys, "__bar"], *order))).drop("__bar")
+
+
 def neighbour_context(df: DataFrame, keys: Sequence[str], order: Sequence[str], most: float) -> DataFrame:
     """prev_gap and next_gap, from the start before and to the end after, and context: half the smaller, at most `most`."""
     w = ordered(keys, *order)
@@ -61,10 +80,18 @@ def inter_onset(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
 
 
 def group_ordinal(df: DataFrame, group: str, name: str) -> DataFrame:
-    """Number of each row's group among the sorted groups, from 0; groups are a dimension of bounded size, null has no number."""
-    g = df.filter(F.col(group).isNotNull()).select(group).distinct()
-    g = g.withColumn(name, (F.row_number().over(Window.orderBy(group)) - 1).cast("long"))
-    return df.join(g, group)
+    """Number of each row's group among the sorted groups, from 0; null has no number.
+
+    The groups are sorted across partitions; each one's groups are numbered within it and moved on by how many the ones before hold.
+    """
+    g = df.filter(F.col(group).isNotNull()).select(group).distinct().repartitionByRange(group).withColumn("__part", F.spark_partition_id())
+    g = checkpointed(g)
+    held = g.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.withColumn("__before", before).drop("__n")
+    number = F.row_number().over(Window.partitionBy("__part").orderBy(group)) - 1
+    g = g.join(F.broadcast(held), "__part").withColumn(name, (number + F.col("__before")).cast("long")).select(group, name)
+    return df.join(broadcast_if_small(g), group)
 
 
 def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
@@ -87,3 +114,28 @@ def sounding_bounds(points: DataFrame, notes: DataFrame, keys: Sequence[str], ke
     up = (F.col("before") < F.col("thr")) & (F.col("v") >= F.col("thr")) & (F.col("t") <= F.col("mid"))
     down = (F.col("before") >= F.col("thr")) & (F.col("v") < F.col("thr")) & (F.col("t") >= F.col("mid"))
     return x.groupBy(key).agg(F.max(F.when(up, F.col("t"))).alias("onset"), F.min(F.when(down, F.col("t"))).alias("offset"))
+
+
+def sounding_sides(points: DataFrame, notes: DataFrame, keys: Sequence[str], key: str, margin: float) -> DataFrame:
+    """Bounds of the sound of notes (points: keys, channel, t, v; the first channel in alphabetical order that has points counts).
+
+    sound_start: the last rise before the middle of the note above the geometric mean of its least value up to there and its
+    99th percentile; sound_end: the first fall after it below that of its least value after sound_start; the note's own bounds
+    where there are none.
+    """
+    wide = notes.select(*keys, key, F.col("start").alias("note_start"), F.col("end").alias("note_end"), (F.col("start") - margin).alias("start"), (F.col("end") + margin).alias("end"))
+    j = intervals.interval_join(points, wide, keys)
+    first = F.min("channel").over(Window.partitionBy(key))
+    mid = (F.col("note_start") + F.col("note_end")) / 2
+    x = j.withColumn("first", first).filter("channel = first").withColumn("mid", mid)
+    x = x.withColumn("before", F.lag("v").over(Window.partitionBy(key).orderBy("t")))
+    w = Window.partitionBy(key)
+    inside = F.col("t").between(F.col("note_start"), F.col("note_end"))
+    x = x.withColumn("top", F.percentile(F.when(inside, F.col("v")), 0.99).over(w)).withColumn("low", F.min(F.when(F.col("t") <= F.col("mid"), F.col("v"))).over(w))
+    edge = lambda low: F.sqrt(F.greatest(F.col(low), F.lit(0.0)) * F.greatest(F.col("top"), F.lit(0.0)))
+    rise = (F.col("before") < edge("low")) & (F.col("v") >= edge("low")) & (F.col("t") <= F.col("mid"))
+    x = x.withColumn("onset", F.coalesce(F.max(F.when(rise, F.col("t"))).over(w), "note_start"))
+    x = x.withColumn("low2", F.min(F.when(F.col("t") >= F.col("onset"), F.col("v"))).over(w))
+    fall = (F.col("before") >= edge("low2")) & (F.col("v") < edge("low2")) & (F.col("t") >= F.col("mid"))
+    g = x.groupBy(key).agg(F.first("first").alias("channel"), F.first("onset").alias("sound_start"), F.min(F.when(fall, F.col("t"))).alias("fall"), F.first("note_end").alias("note_end"))
+    return g.select(key, "channel", "sound_start", F.coalesce("fall", "note_end").alias("sound_end"))

@@ -183,3 +183,25 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], most: float
         return pd.DataFrame({"left_t": [x[i] for i, _ in pairs], "right_t": [y[j] for _, j in pairs]}, dtype="float64")
 
     return per_group(both, ["__key", "__stretch"], run, "left_t double, right_t double").select(F.from_json("__key", kept).alias("k"), "left_t", "right_t").select("k.*", "left_t", "right_t")
+
+
+def greedy_corners(df: DataFrame, keys: list[str], side: str, key: str, x: str, y: str, cost=None) -> DataFrame:
+    """Points of two sides (0 and 1) of a group matched one to one, the nearest pair first, until one side is used up: keys, left, right, distance.
+
+    cost: distance of (x, y) of one point to those of several, Euclid's if there's none. Of equal pairs the first keys are taken.
+    A group is a frame: few points.
+    """
+    far = cost or (lambda p, q: np.hypot(q[:, 0] - p[0], q[:, 1] - p[1]))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = (g[g[side] == s].sort_values(key) for s in (0, 1))
+        p, q = a[[x, y]].to_numpy(dtype=float), b[[x, y]].to_numpy(dtype=float)
+        d = np.array([far(one, q) for one in p]).reshape(len(p), len(q))
+        out = []
+        while d.size and np.isfinite(d).any():
+            i, j = divmod(int(np.nanargmin(d)), d.shape[1])
+            out.append((a[key].iloc[i], b[key].iloc[j], float(d[i, j])))
+            d[i], d[:, j] = np.inf, np.inf
+        return pd.DataFrame(out, columns=["left", "right", "distance"])
+
+    return per_group(df.select(*keys, side, key, x, y).filter(present(x) & present(y)), keys, run, "left long, right long, distance double")

@@ -159,6 +159,25 @@ def frame_yin(samples: str, rate: Column, fmin: float, fmax: float) -> Column:
     return F.pandas_udf(run, "double")(samples, rate)
 
 
+def frame_low_pass(samples: Column, size: int) -> Column:
+    """One value for every `size` samples of a column of arrays, by cutting the spectrum."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([low_pass(np.asarray(v, dtype=float), size) for v in s])
+
+    return F.pandas_udf(run, "array<double>")(samples)
+
+
+def frame_harmonics(df: DataFrame, keys: list[str], place: str, v: str, size: int, count: int) -> DataFrame:
+    """Complex amplitude (re, im) of the first `count` harmonics k of a frame of `size` samples, rows of df: keys, k, re, im."""
+    out = []
+    for k in range(1, count + 1):
+        turn = 2 * np.pi * k * F.col(place) / size
+        out += [(F.sum(F.col(v) * F.cos(turn)) * (2.0 / size)).alias(f"re_{k}"), (F.sum(F.col(v) * F.sin(turn)) * (-2.0 / size)).alias(f"im_{k}")]
+    g = df.groupBy(*keys).agg(*out)
+    return g.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"re_{k}").alias("re"), F.col(f"im_{k}").alias("im")) for k in range(1, count + 1)])).alias("h")).select(*keys, "h.*")
+
+
 def heterodyne(df: DataFrame, keys: list[str], t: str, v: str, hz: list[float]) -> DataFrame:
     """Complex amplitude (re_i, im_i) of each frequency within each group, by multiplication with it and averaging."""
     out = []
@@ -168,11 +187,39 @@ def heterodyne(df: DataFrame, keys: list[str], t: str, v: str, hz: list[float])
     return df.groupBy(*keys).agg(*out)
 
 
+def window_percentiles(x: np.ndarray, size: int, hop: int, at=(5, 25, 50, 75, 95), window=np.hanning) -> np.ndarray:
+    """Weighted percentiles of each frame (rows), weights by the window, values at the middle of their weight."""
+    f = frames(np.asarray(x, dtype=float), size, hop)
+    w = np.broadcast_to(window(size + 2)[1:-1], f.shape)
+    by = np.argsort(f, axis=1, kind="stable")
+    v, w = np.take_along_axis(f, by, axis=1), np.take_along_axis(w, by, axis=1)
+    place = (np.cumsum(w, axis=1) - w / 2) / w.sum(axis=1, keepdims=True) if len(f) else w
+    return np.array([np.interp(np.array(at) / 100, p, y) for p, y in zip(place, v, strict=True)]).reshape(len(f), len(at))
+
+
+def relative_phase(h: np.ndarray) -> np.ndarray:
+    """Phase of each harmonic (columns) less what the first one's phase gives it, within half a turn."""
+    order = np.arange(1, h.shape[1] + 1)
+    return (np.angle(h) - order * np.angle(h[:, :1]) + np.pi) % (2 * np.pi) - np.pi
+
+
+def moment_frequency(h: np.ndarray, f0: np.ndarray, step: float) -> np.ndarray:
+    """Frequency of each harmonic (columns) between neighbouring frames `step` seconds apart, from how its phase goes on beyond k * f0."""
+    order = np.arange(1, h.shape[1] + 1)
+    f = (f0[1:, None] + f0[:-1, None]) / 2 * order
+    turn = np.angle(h[1:]) - np.angle(h[:-1])
+    extra = (turn - 2 * np.pi * f * step + np.pi) % (2 * np.pi) - np.pi
+    return f + extra / (2 * np.pi * step)
+
+
 def describe(blocks: DataFrame, size: int = 1024, hop: int = 512, fmin: float = 60.0, fmax: float = 1500.0, count: int = 5) -> DataFrame:
     """Series of each channel of audio blocks (path, channel, block, t0, rate, samples, own): path, channel, descriptor, t, v, v_im.
 
-    Blocks overlap, so that no frame is lost at an edge; frames that start in the first `own` samples belong to a block.
+    ampl, f0, centr; dc, the slow part; p05 to p95, weighted percentiles; h01 to h0n, complex amplitudes of harmonics, with their
+    relative phase (_rarg) and frequency of the moment (_freq). Blocks overlap, so that no frame is lost at an edge (by size
+    and hop, for the frequency of the moment goes on to the next frame); frames that start in the first `own` samples belong to a block.
     """
+    at = (5, 25, 50, 75, 95)
 
     def run(batches):
         for g in batches:
@@ -183,8 +230,16 @@ def describe(blocks: DataFrame, size: int = 1024, hop: int = 512, fmin: float =
                 t = b.t0 + (starts + size / 2) / b.rate
                 f0 = yin(x, b.rate, size, hop, fmin, fmax)
                 series = {"ampl": rms(x, size, hop), "f0": f0, "centr": centroid(x, b.rate, size, hop)}
+                q = window_percentiles(x, size, hop, at)
+                series |= {f"p{p:02d}": q[:, i] for i, p in enumerate(at)}
+                series["dc"] = np.array([low_pass(f, size)[0] for f in frames(x, size, hop)])
                 h = harmonics(x, b.rate, f0, size, hop, count)
-                series |= {f"h{k + 1:02d}": h[:, k] for k in range(h.shape[1])}
+                phase = relative_phase(h)
+                moment = np.full(phase.shape, np.nan)
+                if len(h) > 1:
+                    moment[:-1] = moment_frequency(h, np.nan_to_num(f0), hop / b.rate)
+                for k in range(h.shape[1]):
+                    series |= {f"h{k + 1:02d}": h[:, k], f"h{k + 1:02d}_rarg": phase[:, k], f"h{k + 1:02d}_freq": moment[:, k]}
                 for name, v in series.items():
                     v = v[: len(mine)][mine]
                     yield pd.DataFrame({"path": b.path, "channel": b.channel, "descriptor": name, "t": t[mine], "v": np.real(v), "v_im": np.imag(v) if np.iscomplexobj(v) else None})

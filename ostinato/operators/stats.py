@@ -57,6 +57,45 @@ def angle_stats(joined: DataFrame, keys: Sequence[str], re: str = "re", im: str
     )
 
 
+def angle_extremes(joined: DataFrame, keys: Sequence[str], re: str = "re", im: str = "im", t: str = "t", start: str = "start", end: str = "end") -> DataFrame:
+    """What angle_stats leaves out: highest and lowest modulus (to six decimals) with their times (the earliest), the deviations of the angle
+    that are largest and smallest, the direction of the median point added, and the medians of modulus and deviation of the three thirds."""
+    keys = list(keys)
+    centre = joined.groupBy(*keys).agg(F.percentile(re, 0.5).alias("__re"), F.percentile(im, 0.5).alias("__im")).withColumn("__c", F.atan2("__im", "__re"))
+    angle = F.when(F.hypot(re, im) > 0, F.atan2(im, re))
+    x = joined.join(centre, keys).withColumn("__a", F.round(F.hypot(re, im), 6)).withColumn("__d", wrap(angle - F.col("__c"), 2 * math.pi)).withColumn("__third", third_of(t, start, end))
+    part = lambda v, i: F.percentile(F.when(F.col("__third") == i, F.col(v)), 0.5)
+    g = x.groupBy(*keys).agg(
+        F.max(F.struct("__a", (-F.col(t)).alias("t"))).alias("top"), F.min(F.struct("__a", t)).alias("low"), F.max(F.col("__d") + F.col("__c")).alias("arg_max_v"), F.min(F.col("__d") + F.col("__c")).alias("arg_min_v"),
+        *[part("__a", i).alias(f"abs_t{i}") for i in (1, 2, 3)], *[part("__d", i).alias(f"arg_t{i}") for i in (1, 2, 3)],
+    )
+    return g.select(
+        *keys, F.col("top.__a").alias("abs_max_v"), (-F.col("top.t")).alias("abs_max_t"), F.col("low.__a").alias("abs_min_v"), F.col(f"low.{t}").alias("abs_min_t"),
+        "arg_max_v", "arg_min_v", "abs_t1", "abs_t2", "abs_t3", "arg_t1", "arg_t2", "arg_t3",
+    )
+
+
+def quadratic(df: DataFrame, keys: Sequence[str], order: Sequence[str], v: str, beyond: int = 5) -> DataFrame:
+    """Parabola through the values of each group in order, by least squares: value `beyond` places before the first and after the last, n.
+
+    Places run from -1 to 1, where the normal equations are well conditioned; groups of fewer than three rows give none.
+    """
+    keys = list(keys)
+    w = Window.partitionBy(*keys)
+    n = F.count("*").over(w)
+    place = (2.0 * (F.row_number().over(w.orderBy(*order)) - 1) / (n - 1)) - 1.0
+    x = df.withColumn("__n", n).filter("__n >= 3").withColumn("__n", n).withColumn("__u", place)
+    u, y = F.col("__u"), F.col(v).cast("double")
+    s = x.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(u * u).alias("s2"), F.sum(u * u * u * u).alias("s4"), F.sum(y).alias("y0"), F.sum(u * y).alias("y1"), F.sum(u * u * y).alias("y2"))
+    # Odd sums vanish, as places lie evenly about 0.
+    det = F.col("n") * F.col("s4") - F.col("s2") * F.col("s2")
+    c = (F.col("n") * F.col("y2") - F.col("s2") * F.col("y0")) / det
+    a = (F.col("s4") * F.col("y0") - F.col("s2") * F.col("y2")) / det
+    b = F.col("y1") / F.col("s2")
+    far = 1 + 2.0 * beyond / (F.col("n") - 1)
+    return s.select(*keys, "n", (a - b * far + c * far * far).alias("before"), (a + b * far + c * far * far).alias("after"))
+
+
 def percentiles(df: DataFrame, keys: Sequence[str], v: str, at: Sequence[float]) -> DataFrame:
     """Percentiles p05, p50, ... of each group."""
     x = df.groupBy(*keys).agg(F.percentile(v, F.array(*[F.lit(float(p)) for p in at])).alias("q"))
@@ -76,8 +115,9 @@ def silence_voice(df: DataFrame, keys: Sequence[str], v: str) -> DataFrame:
 
 
 def normalised(df: DataFrame, keys: Sequence[str], v: str, mode: str = "std") -> DataFrame:
-    """v as column `normal`: std (mean and population deviation), iqr (median and interquartile range) or minmax; null where there's no spread."""
-    if mode not in ("std", "iqr", "minmax"):
+    """v as column `normal`: std (mean and population deviation), iqr (median and interquartile range), minmax, p5_p95
+    (5th and 95th percentile become 0 and 1) or peak (largest absolute value); null where there's no spread."""
+    if mode not in ("std", "iqr", "minmax", "p5_p95", "peak"):
         raise ValueError(f"no normalisation {mode}")
     g = df.groupBy(*keys)
     if mode == "std":
@@ -85,6 +125,11 @@ def normalised(df: DataFrame, keys: Sequence[str], v: str, mode: str = "std") ->
     elif mode == "iqr":
         q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         s = g.agg(q.alias("__q")).select(*keys, F.col("__q")[1].alias("__a"), (F.col("__q")[2] - F.col("__q")[0]).alias("__b"))
+    elif mode == "p5_p95":
+        q = F.percentile(v, F.array(F.lit(0.05), F.lit(0.95)))
+        s = g.agg(q.alias("__q")).select(*keys, F.col("__q")[0].alias("__a"), (F.col("__q")[1] - F.col("__q")[0]).alias("__b"))
+    elif mode == "peak":
+        s = g.agg(F.lit(0.0).alias("__a"), F.max(F.abs(v)).alias("__b"))
     else:
         s = g.agg(F.min(v).alias("__a"), (F.max(v) - F.min(v)).alias("__b"))
     return df.join(s, list(keys)).withColumn("normal", (F.col(v) - F.col("__a")) / F.nullif(F.col("__b"), F.lit(0.0))).drop("__a", "__b")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ostinato.functions.exprs import col
 from ostinato.operators import blocks
 from ostinato.operators.grouped import per_group, streamed
 from ostinato.session import present
@@ -187,4 +188,4 @@ def robust_lines(df: DataFrame, keys: list[str], t: str, y: str) -> DataFrame:
 
 def strip_length(area, short_side, scale_px, mm: float = 5.0):
     """Length in mm of a strip of known width: its area over its narrow side, by the scale's pixels for `mm`."""
-    return F.col(area) / F.nullif(F.col(short_side), F.lit(0.0)) * mm / F.nullif(F.col(scale_px), F.lit(0.0))
+    return col(area) / F.nullif(col(short_side), F.lit(0.0)) * mm / F.nullif(col(scale_px), F.lit(0.0))

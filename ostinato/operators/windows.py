@@ -110,3 +110,15 @@ def phrases(df: DataFrame, keys: Sequence[str], order: str, v: str, share: float
     x = x.withColumn("__edge", F.when(F.col("__on") & ~was, "on").when(~F.col("__on") & was, "off")).filter("__edge IS NOT NULL").drop("__b")
     x = blocks.neighbour(x, keys, [order], F.struct(F.col(order).alias("t")), "__n", after=True)
     return x.filter("__edge = 'on'").select(*keys, F.col(order).alias("start"), F.coalesce("__n.t", "__last").alias("end"), "threshold")
+
+
+def silences(df: DataFrame, keys: Sequence[str], order: str, v: str, share: float = 0.01, width: float = blocks.SECONDS) -> DataFrame:
+    """What lies between phrases: from the start of a series to its first onset, from each offset to the next onset, from the last offset to the end."""
+    keys = list(keys)
+    p = phrases(df, keys, order, v, share, width)
+    ends = df.groupBy(*keys).agg(F.min(order).alias("__first"), F.max(order).alias("__last"))
+    edge = F.lit(None).cast("double")
+    rows = p.select(*keys, F.col("end").alias("start"), F.col("start").alias("__at")).unionByName(ends.select(*keys, F.col("__first").alias("start"), edge.alias("__at")))
+    rows = rows.join(ends, keys).withColumn("__k", F.coalesce("__at", F.lit(float("-inf"))))
+    after = blocks.neighbour(rows.withColumn(blocks.PART, F.when(F.col("__at").isNull(), F.floor(F.col("__first") / width) - 1).otherwise(F.floor(F.col("__at") / width))), keys, ["__k"], F.struct(F.col("__at").alias("t")), "__n", after=True)
+    return after.select(*keys, "start", F.coalesce("__n.t", "__last").alias("end")).filter("start < end")

@@ -83,11 +83,36 @@ def note_segmentation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(x, 6, "mean_pitch", "mean_db", "std_db")
 
 
-@registry.query("attack_release")
+_LEVEL = """pt AS (SELECT file, t, 20 * log10(greatest(min(v), 1e-9)) AS db FROM p WHERE label = 'barrel_ampl' GROUP BY file, t),
+tp AS (SELECT n.note_key, n.file, n."start", n."end", max_by(t, (db, -t)) AS top_t FROM n JOIN pt ON pt.file = n.file AND t BETWEEN n."start" AND n."end" GROUP BY ALL),
+sp AS (SELECT *, least(top_t, greatest(coalesce(lag(top_t) OVER w, -1e300), top_t - 10)) AS a, greatest(top_t, least(coalesce(lead(top_t) OVER w, 1e300), top_t + 10)) AS b FROM tp WINDOW w AS (PARTITION BY file ORDER BY "start", note_key)),
+j AS (SELECT sp.*, pt.t, pt.db, lag(pt.db) OVER w AS db1, lead(pt.db) OVER w AS db2, lag(pt.t) OVER w AS t1 FROM sp JOIN pt ON pt.file = sp.file AND pt.t BETWEEN sp.a AND sp.b WINDOW w AS (PARTITION BY note_key ORDER BY pt.t)),
+e AS (SELECT note_key, min_by(t, (db - 4 * t, t)) FILTER (t <= top_t) AS attack_start, min_by(t, (db + 4 * t, t)) FILTER (t >= top_t) AS release_end,
+  min_by(t, (abs(t - "start"), t)) FILTER (db < db1 AND db < db2 AND t < top_t) AS prev_local_min, min_by(t, (abs(t - "end"), t)) FILTER (db < db1 AND db < db2 AND t > top_t) AS next_local_min FROM j GROUP BY note_key),
+c AS (SELECT note_key, max_by(t, (db - 40 * t, -t)) FILTER (t BETWEEN attack_start AND top_t) AS attack_corner, max_by(t, (db + 80 * t, -t)) FILTER (t BETWEEN top_t AND release_end) AS release_corner FROM j JOIN e USING (note_key) GROUP BY note_key)"""
+
+
+@registry.query(
+    "attack_release",
+    _sql("""SELECT note_key, top_t, attack_start, attack_corner, release_corner, release_end, prev_local_min, next_local_min, coalesce(next_local_min, release_end) AS next_dip,
+  round(max(db) FILTER (t = attack_corner) - max(db) FILTER (t = attack_start), 6) AS attack_db, round(max(s), 4) AS max_slope, round(quantile_cont(s, 0.5), 4) AS median_slope
+FROM (SELECT *, CASE WHEN t1 >= attack_start AND t <= attack_corner THEN (db - db1) / nullif(t - t1, 0) END AS s FROM j JOIN e USING (note_key) JOIN c USING (note_key))
+GROUP BY note_key, top_t, attack_start, attack_corner, release_corner, release_end, prev_local_min, next_local_min""", P, N, _LEVEL),
+)
 def attack_release(spark: SparkSession, d: str) -> DataFrame:
-    """Corners of attacks and releases of notes in the barrel's level."""
-    p = views.points(spark, d).filter("label = 'barrel_ampl'").select("file", "t", "v")
-    return rounded(segment.attacks(p, views.notes(spark, d), ["file"]), 6, "attack_db", "max_slope")
+    """Corners, dips and slopes of attacks and releases of notes in the barrel's level."""
+    p = views.points(spark, d).filter("label = 'barrel_ampl'").groupBy("file", "t").agg(F.min("v").alias("v"))
+    return rounded(rounded(segment.attacks(p, views.notes(spark, d), ["file"]), 6, "attack_db"), 4, "max_slope", "median_slope")
+
+
+@registry.query("segment_and_align")
+def segment_and_align(spark: SparkSession, d: str) -> DataFrame:
+    """Notes found in each recording, aligned with the score of its tune: rec_id, note_nbr, start, end, score_place, repetition; only those that are matched."""
+    found = note_segmentation(spark, d)
+    rec = table(spark, d, "recordings").select("rec_id", F.nullif(F.trim("tune"), F.lit("")).alias("tune"))
+    played = found.join(broadcast_if_small(rec), "rec_id").select("rec_id", "tune", F.col("note_nbr").alias("place"), (F.rint(F.col("round_pitch") + 2) + 69).cast("long").alias("pitch"))
+    aligned = sequences.align_takes(played, _written(spark, d), ["rec_id"]).filter("score_place IS NOT NULL AND played_place IS NOT NULL")
+    return aligned.withColumnRenamed("played_place", "note_nbr").join(found.select("rec_id", "note_nbr", "start", "end"), ["rec_id", "note_nbr"])
 
 
 # Synchronisation
@@ -123,7 +148,7 @@ def peak_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 _MATCH = """x AS (SELECT DISTINCT rec_id, t, dt, level2 - level1 AS step FROM pp WHERE label = 'barrel_ampl'),
 y AS (SELECT DISTINCT rec_id, t, dt, level2 - level1 AS step FROM pp WHERE label = 'external_ampl'),
-o AS (SELECT x.rec_id, y.t - x.t AS delta, count(*) AS c FROM x JOIN y ON x.rec_id = y.rec_id AND x.dt = y.dt AND x.step = y.step AND y.t - x.t BETWEEN -40 AND 40 GROUP BY ALL),
+o AS (SELECT x.rec_id, y.t - x.t AS delta, count(*) AS c FROM x JOIN y ON x.rec_id = y.rec_id AND x.dt = y.dt AND x.step = y.step GROUP BY ALL),
 v AS (SELECT rec_id, delta AS mode FROM o QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY c DESC, delta) = 1),
 q AS (SELECT rec_id, CAST(sum(c) AS BIGINT) AS n_matches FROM o GROUP BY rec_id)"""
 
@@ -133,17 +158,12 @@ q AS (SELECT rec_id, CAST(sum(c) AS BIGINT) AS n_matches FROM o GROUP BY rec_id)
     _sql("SELECT o.rec_id, v.mode, q.n_matches, round(CAST(sum(o.delta * o.c) AS DOUBLE) / sum(o.c), 6) AS delay, round(CAST(sum(o.c) AS DOUBLE) / q.n_matches, 6) AS share FROM o JOIN v USING (rec_id) JOIN q USING (rec_id) WHERE abs(o.delta - v.mode) < 2 GROUP BY o.rec_id, v.mode, q.n_matches", R, H, _PEAKS, _PAIRS, _MATCH),
 )
 def fingerprint_offset_vote(spark: SparkSession, d: str) -> DataFrame:
-    """Offset between the barrel's and the external microphone's series of a recording, by matching fingerprints within 2 s."""
+    """Offset between the barrel's and the external microphone's series of a recording, by matching fingerprints wherever they lie."""
     # Peaks are few; four readers would find them again.
     peaks = checkpointed(_peaks(spark, d).filter("label IN ('barrel_ampl', 'external_ampl')"))
     f = _pairs(peaks).withColumn("step", F.col("level2") - F.col("level1"))
-    x = f.filter("label = 'barrel_ampl'").select("rec_id", "dt", "step", "t").distinct()
-    y = f.filter("label = 'external_ampl'").select("rec_id", "dt", "step", F.col("t").alias("t2")).distinct()
-    # Fingerprints are matched by bucket of 2 s, each with its own and the neighbouring ones.
-    x = x.withColumn("b", F.explode(F.array(*[F.floor(F.col("t") / 40) + i for i in (-1, 0, 1)])))
-    y = y.withColumn("b", F.floor(F.col("t2") / 40))
-    m = x.join(y, ["rec_id", "dt", "step", "b"]).withColumn("delta", F.col("t2") - F.col("t")).filter(F.abs("delta") <= 40)
-    return rounded(sync.offset_vote(m, ["rec_id"], "delta"), 6, "delay", "share")
+    x, y = (f.filter(F.col("label") == c).select("rec_id", "dt", "step", "t").distinct() for c in ("barrel_ampl", "external_ampl"))
+    return rounded(sync.offset_vote(sync.offset_counts(x, y, ["rec_id"], ["dt", "step"], "t"), ["rec_id"], "delta", count="n"), 6, "delay", "share")
 
 
 @registry.query(
@@ -165,15 +185,16 @@ def lattice_nn(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.query(
     "xcorr_delay",
-    _sql("""SELECT rec_id, lag, n, round(c, 4) AS correlation FROM (SELECT x.rec_id, l.lag, avg(x.v * y.v) AS c, count(*) AS n FROM x CROSS JOIN (SELECT unnest(range(-10, 11))::INT AS lag) l JOIN y ON y.rec_id = x.rec_id AND y.slot = x.slot + l.lag GROUP BY ALL)
-QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY round(c, 9) DESC, abs(lag), lag) = 1""",
-         P, "x AS (SELECT rec_id, floor(t / 0.1)::BIGINT AS slot, max(v) AS v FROM p WHERE label = 'barrel_ampl' GROUP BY ALL)", "y AS (SELECT rec_id, floor(t / 0.1)::BIGINT AS slot, max(v) AS v FROM p WHERE label = 'external_ampl' GROUP BY ALL)"),
+    _sql("""SELECT rec_id, lag, n, round(c, 4) AS correlation FROM (SELECT x.rec_id, (y.slot - x.slot)::INT AS lag, sum(CAST(x.v AS DECIMAL(18, 6)) * CAST(y.v AS DECIMAL(18, 6)))::DOUBLE / any_value(least(m.nx, m.ny)) AS c, count(*) AS n FROM x JOIN y ON y.rec_id = x.rec_id JOIN m ON m.rec_id = x.rec_id GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY round(c, 5) DESC, abs(lag), lag) = 1""",
+         P, "x AS (SELECT rec_id, floor(t / 0.1)::BIGINT AS slot, max(v) AS v FROM p WHERE label = 'barrel_ampl' GROUP BY ALL)", "y AS (SELECT rec_id, floor(t / 0.1)::BIGINT AS slot, max(v) AS v FROM p WHERE label = 'external_ampl' GROUP BY ALL)",
+         "m AS (SELECT rec_id, nx, ny FROM (SELECT rec_id, count(*) AS nx FROM x GROUP BY ALL) JOIN (SELECT rec_id, count(*) AS ny FROM y GROUP BY ALL) USING (rec_id))"),
 )
 def xcorr_delay(spark: SparkSession, d: str) -> DataFrame:
-    """Lag, in tenths of a second, at which two series of a recording correlate most."""
+    """Lag, of all there are, in tenths of a second, at which two series of a recording correlate most."""
     p = views.points(spark, d).withColumn("slot", F.floor(F.col("t") / 0.1))
     x, y = (p.filter(F.col("label") == c).groupBy("rec_id", "slot").agg(F.max("v").alias("v")) for c in ("barrel_ampl", "external_ampl"))
-    best = sync.best_lag(sync.lag_correlation(x, y, ["rec_id"], 10), ["rec_id"])
+    best = sync.best_lag(sync.lag_correlation(x, y, ["rec_id"]), ["rec_id"])
     return rounded(best, 4, "correlation").select("rec_id", "lag", "n", "correlation")
 
 

@@ -194,7 +194,7 @@ def rms_envelope(spark: SparkSession, d: str) -> DataFrame:
     return rounded(x, 5, "rms")
 
 
-def _normalised(mode: str, middle: str, spread: str):
+def _normalised(mode: str, middle: str, spread: str, registry: Registry = registry):
     sql = _sql(f"SELECT series_id, frame_idx, round((v - a) / nullif(b, 0), 6) AS normal FROM r JOIN s USING (series_id)", R, f"s AS (SELECT series_id, {middle} AS a, {spread} AS b FROM r GROUP BY series_id)")
 
     @registry.query(f"normalize_{mode}", sql)

@@ -114,3 +114,12 @@ B = f"""b AS (
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def settled(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """Columns rounded by way of decimals, so that values half-way between two come out the same whatever their last bits; as settled_sql."""
+    return df.withColumns({c: F.round(F.col(c).cast("decimal(28,8)"), digits).cast("double") for c in columns})
+
+
+def settled_sql(x: str, digits: int) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(28, 8)), {digits}) AS DOUBLE)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 RECORDINGS = "idx int, filename string, tune string, own boolean, sensor_set int, subject_id int, channel_set string, instrument string"
 SCORE = "tune string, score_idx int, note_id int, pitch string, beats double, strong_beat boolean, ornament boolean, staccato boolean, bar int"
-DETECTIONS = "msec double, markers map<string,struct<bbox:array<int>,source:string,template_val:double>>"
+DETECTIONS = "video string, msec double, markers map<string,struct<bbox:array<int>,source:string,template_val:double>>"
 
 
 def read_recordings(spark: SparkSession, path: str) -> DataFrame:
@@ -29,6 +29,16 @@ def score_table(spark: SparkSession, scores: Mapping[str, Mapping]) -> DataFrame
     return spark.createDataFrame(rows, SCORE)
 
 
+def score_from_json(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Scores, one document each: tune, score_idx, which counts rests (pitch 0), note_id, which doesn't and is null for them, pitch, beats."""
+    schema = "tune string, notes array<struct<pitch:string,duration:double>>"
+    x = documents.select(F.from_json(text, schema).alias("s")).select("s.tune", F.posexplode("s.notes").alias("score_idx", "n"))
+    rest = F.coalesce(F.col("n.pitch"), F.lit("0")) == "0"
+    w = Window.partitionBy("tune").orderBy("score_idx")
+    x = x.withColumn("note_id", F.when(~rest, F.sum((~rest).cast("int")).over(w).cast("int") - 1))
+    return x.select("tune", "score_idx", "note_id", F.when(~rest, F.col("n.pitch")).alias("pitch"), F.col("n.duration").alias("beats"))
+
+
 def beat_starts(score: DataFrame) -> DataFrame:
     """beat_start: beats before each note of its tune, rests included."""
     w = Window.partitionBy("tune").orderBy("score_idx").rowsBetween(Window.unboundedPreceding, -1)
@@ -50,9 +60,10 @@ def merge_runs(files: DataFrame, regions: DataFrame, keys: Sequence[str]) -> Dat
     return files.join(r, list(keys), "left").withColumn("regions", F.coalesce("regions", F.array().cast(r.schema["regions"].dataType)))
 
 
-def nth_file(files: DataFrame, order: str, n: int, of: int) -> DataFrame:
-    """Every of-th file, from the n-th: a share of the work for one of `of` independent jobs."""
-    return files.filter(F.pmod(F.xxhash64(order), F.lit(of)) == n)
+def nth_file(files: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
+    """The n-th file (from 1) of each run (keys): the share of the n-th of several independent jobs."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return files.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") == n).drop("__n")
 
 
 def with_melody(files: DataFrame, scores: DataFrame) -> DataFrame:
@@ -62,10 +73,10 @@ def with_melody(files: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    """Detections in video frames, one JSON object a line: path, msec, marker_id, bbox, source, template_val."""
+    """Detections in video frames, one JSON object a line: path, video, msec, marker_id, bbox, source, template_val."""
     raw = spark.read.json(path, schema=DETECTIONS).withColumn("path", F.input_file_name())
-    x = raw.select("path", "msec", F.explode_outer("markers").alias("id", "m"))
-    return x.select("path", "msec", F.col("id").try_cast("int").alias("marker_id"), "m.bbox", "m.source", "m.template_val")
+    x = raw.select("path", "video", "msec", F.explode_outer("markers").alias("id", "m"))
+    return x.select("path", "video", "msec", F.col("id").try_cast("int").alias("marker_id"), "m.bbox", "m.source", "m.template_val")
 
 
 def filter_videos(videos: DataFrame, views: Sequence[str]) -> DataFrame:
@@ -80,9 +91,10 @@ def assemble_series(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def write_series(series: DataFrame, path: str, by: str = "rec_id") -> None:
-    """Series as Parquet, a folder for each recording, rows of a label together, so that a filter on labels prunes row groups."""
-    series.repartition(by).sortWithinPartitions(by, "label").write.mode("overwrite").partitionBy(by).parquet(path)
+def write_series(series: DataFrame, path: str, by: str = "rec_id", files: int | None = None) -> None:
+    """Series as Parquet in `files` files (as many as shuffle partitions), recordings hashed to them and sorted, so that a filter on recordings or labels skips row groups."""
+    n = files or int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    series.repartition(n, by).sortWithinPartitions(by, "label").write.mode("overwrite").parquet(path)
 
 
 def write_regions(regions: DataFrame, path: str, sep: str = ",") -> None:

@@ -9,22 +9,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INTERVALS = "path string, tier string, idx int, start double, end double, label string"
+from ostinato.sources.files import file_name, write_files
+
+INTERVALS = "path string, tier_nbr int, tier string, idx int, start double, end double, label string"
 _TIER = re.compile(r'class\s*=\s*"IntervalTier"\s*name\s*=\s*"((?:[^"]|"")*)"')
 _INTERVAL = re.compile(r'xmin\s*=\s*([-+.\deE]+)\s*xmax\s*=\s*([-+.\deE]+)\s*text\s*=\s*"((?:[^"]|"")*)"')
 
 
-def parse(text: str) -> Iterator[tuple[str, int, float, float, str]]:
-    """(tier, number from 0, start, end, label) of each labelled interval of a long text grid."""
+def parse(text: str) -> Iterator[tuple[int, str, int, float, float, str]]:
+    """(place of the tier, tier, number from 0, start, end, label) of each labelled interval of a long text grid."""
     heads = list(_TIER.finditer(text))
-    for head, following in zip(heads, [*heads[1:], None], strict=True):
+    for n, (head, following) in enumerate(zip(heads, [*heads[1:], None], strict=True)):
         part = text[head.end() : following.start() if following else len(text)]
         body = part[part.find("intervals") :]
         i = 0
         for m in _INTERVAL.finditer(body):
             label = m.group(3).replace('""', '"')
             if label.strip():
-                yield head.group(1).replace('""', '"'), i, float(m.group(1)), float(m.group(2)), label
+                yield n, head.group(1).replace('""', '"'), i, float(m.group(1)), float(m.group(2)), label
                 i += 1
 
 
@@ -58,15 +60,15 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
                 text = content.decode("utf-16" if content[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8-sig", errors="replace")
                 rows = [(name, *r) for r in parse(text)]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["path", "tier", "idx", "start", "end", "label"])
+                    yield pd.DataFrame(rows, columns=["path", "tier_nbr", "tier", "idx", "start", "end", "label"])
 
     return files.select("path", "content").mapInPandas(run, INTERVALS)
 
 
 def pick_tier(intervals: DataFrame, prefix: str) -> DataFrame:
-    """Intervals of the first tier of each file (by name) that starts with prefix."""
-    t = intervals.filter(F.lower("tier").startswith(prefix)).groupBy("path").agg(F.min("tier").alias("tier"))
-    return intervals.join(t, ["path", "tier"], "left_semi")
+    """Intervals of the first tier of each file that starts with prefix."""
+    t = intervals.filter(F.lower("tier").startswith(prefix)).groupBy("path").agg(F.min("tier_nbr").alias("tier_nbr"))
+    return intervals.join(t, ["path", "tier_nbr"], "left_semi")
 
 
 def first_label_region(intervals: DataFrame, pattern: str, nth: int = 0) -> DataFrame:
@@ -98,15 +100,6 @@ def as_texts(intervals: DataFrame) -> DataFrame:
     return per_group(intervals.select("path", "tier", "start", "end", "label"), ["path"], run, "text string")
 
 
-def write_texts(texts: DataFrame, folder: str, extension: str = ".TextGrid") -> None:
+def write_texts(texts: DataFrame, folder: str, extension: str = ".TextGrid") -> int:
     """Write one file for each row (path, text), named after the path, into a folder that all executors share."""
-    from pathlib import Path
-
-    def put(rows) -> None:
-        root = Path(folder)
-        root.mkdir(parents=True, exist_ok=True)
-        for r in rows:
-            name = re.sub(r"[^\w.-]+", "_", r["path"]).strip("_")
-            (root / f"{name}{extension}").write_text(r["text"], encoding="utf-8")
-
-    texts.foreachPartition(put)
+    return write_files(texts.select(F.concat(file_name("path"), F.lit(extension)).alias("name"), F.col("text").alias("content")), folder)

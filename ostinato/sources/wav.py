@@ -11,7 +11,7 @@ from __future__ import annotations
 import io
 import struct
 import wave
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinato.functions.exprs import little_endian
+from ostinato.session import broadcast_if_small
 
 BLOCKS = "path string, channel int, block long, t0 double, rate int, samples array<float>, own long, error string"
 _SCALE = {1: 128.0, 2: 32768.0, 3: 8388608.0, 4: 2147483648.0}
@@ -106,9 +107,10 @@ def decoded(files: DataFrame, block: int = 1 << 18, overlap: int = 512, raw: boo
     return files.select("path", "content").mapInPandas(run, BLOCKS)
 
 
-def calibrated_blocks(blocks: DataFrame, channels: DataFrame) -> DataFrame:
-    """Blocks of the kept channels (ch_idx, name, gain, offset, keep), calibrated as (sample + offset) * gain."""
-    j = blocks.join(F.broadcast(channels), F.col("channel") == F.col("ch_idx"))
+def calibrated_blocks(blocks: DataFrame, channels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Blocks of the kept channels (keys, ch_idx, name, gain, offset, keep), calibrated as (sample + offset) * gain."""
+    side = broadcast_if_small(channels.withColumnRenamed("ch_idx", "channel"))
+    j = blocks.join(side, [*keys, "channel"])
     value = F.transform("samples", lambda x: ((x + F.coalesce("offset", F.lit(0.0))) * F.coalesce("gain", F.lit(1.0))).cast("float"))
     return j.filter(F.coalesce("keep", F.lit(True))).select(*[c for c in blocks.columns if c != "samples"], "name", value.alias("samples"))
 

@@ -14,9 +14,9 @@ pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables")
 
 
 def core():
-    from ostinato.plans import analysis, general, notes, series
+    from ostinato.plans import analysis, files, general, measures, notes, series
 
-    return [(n, r) for r in (general.registry, notes.registry, series.registry, analysis.registry) for n in r.queries]
+    return [(n, m.registry) for m in (general, notes, series, analysis, measures, files) for n in m.registry.queries]
 
 
 @pytest.fixture(scope="module")
