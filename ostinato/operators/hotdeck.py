@@ -184,12 +184,14 @@ def hot_deck(df: DataFrame, key: str, plan: Plan) -> DataFrame:
                 F.array_compact(F.array(*levels)).alias("levels"),
             )
         )
+    # Only the rows of keys that have copies are shuffled to be told apart.
+    keyed = df.filter(F.col(key).isNotNull())
+    copies = broadcast_if_small(checkpointed(keyed.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)))
+    once = keyed.join(copies, key, "left_anti").unionByName(keyed.join(copies, key, "left_semi").dropDuplicates([key]))
     no_numbers, no_categories = F.array().cast("array<double>"), F.array().cast("array<long>")
     # Written once: it is read for the counts, the donors and the records that lack a value.
     base = checkpointed(
-        df.filter(F.col(key).isNotNull())
-        .dropDuplicates([key])
-        .select(
+        once.select(
             F.col(key).cast("long").alias("key"),
             (F.array(*[(F.col(n) / scale[n]).cast("double") for n in plan.numbers]) if plan.numbers else no_numbers).alias("numbers"),
             (F.array(*[F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c)) for c in plan.categories]) if plan.categories else no_categories).alias("categories"),
