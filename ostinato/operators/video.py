@@ -85,7 +85,8 @@ TRACK_ROWS, TRACK_HALO = 8192, 1024
 def smooth_marks(marks: DataFrame, keys: list[str], order: str, key: str, together: int = 256) -> DataFrame:
     """Tracks (keys, order, key, x, y) smoothed: keys, key, smooth_x, smooth_y, is_outlier.
 
-    A track longer than TRACK_ROWS is smoothed in parts that overlap. Rows without a key, time or place in order are none.
+    A track longer than TRACK_ROWS is smoothed in parts that overlap: only its first rows, which are drawn to the mean of
+    their part, come out otherwise than of the whole track. Rows without a key, time or place in order are none.
     """
     types = {f.name: f.dataType.simpleString() for f in marks.schema.fields}
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"`{key}` {types[key]}", "smooth_x double, smooth_y double, is_outlier boolean"])

@@ -21,5 +21,5 @@ def test_every_way_to_write_a_delay_is_used(spark, tmp_path):
     spark.createDataFrame(takes, "ver_id int, wavfile string, ver_nbr int, tune string, instrument string, subject_id int, vers_start double, vers_end double").write.parquet(f"{d}/versions.parquet")
     best = {"a.mov": 2.5, "b.mov": 3.5, "c.mov": -0.5, "d.mov": 6.0}
     want = {(m[0], k[0], round(m[2] / 1000 + best[m[1]] - k[6], 6)) for m in marks if m[1] in best for k in takes[:2] if k[6] < m[2] / 1000 + best[m[1]] < k[7]}
-    assert {tuple(r) for r in analysis.cut_to_recording_any_delay(spark, d).select("mark_id", "ver_id", "t").collect()} == want
-    assert {tuple(r) for r in analysis.cut_to_recording(spark, d).select("mark_id", "ver_id", "t").collect()} < {(m[0], k[0], round(m[2] / 1000 + 1 - k[6], 6)) for m in marks for k in takes[:2]}
+    for query in (analysis.cut_to_recording, analysis.cut_to_recording_any_delay):
+        assert {tuple(r) for r in query(spark, d).select("mark_id", "ver_id", "t").collect()} == want

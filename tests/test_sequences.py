@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -101,12 +102,65 @@ def test_segmentation_finds_notes():
     assert n["round_pitch"].tolist() == [-12, -10, -7]
 
 
-def test_attack_corner():
+def test_attack_corner(spark):
     t = np.arange(0, 2, 0.01)
     db = np.where(t < 0.5, -60, np.minimum(-60 + (t - 0.5) * 300, 0.0))
     db = np.where(t > 1.5, np.maximum(-(t - 1.5) * 200, -60), db) + 0.0
-    a = segment.attack_corners(t, db, np.array([0.5]), np.array([1.6])).iloc[0]
+    points = spark.createDataFrame([("a", float(x), float(10 ** (y / 20))) for x, y in zip(t, db, strict=True)], "file string, t double, v double")
+    notes = spark.createDataFrame([("a", 1, 0.5, 1.6), ("b", 2, 0.0, 1.0), ("a", 3, 5.0, 6.0)], "file string, note_key long, start double, end double")
+    rows = segment.attacks(points, notes, ["file"]).collect()
+    assert [r["note_key"] for r in rows] == [1]  # the others have no points
+    a = rows[0]
     assert abs(a["attack_corner"] - 0.7) < 0.02 and abs(a["attack_start"] - 0.5) < 0.03 and abs(a["release_corner"] - 1.5) < 0.02
+    assert abs(a["attack_db"] - 60) < 1 and abs(a["median_slope"] - 300) < 10
+
+
+def test_groups_stream_in_frames_that_dont_grow(spark):
+    """Ten times as many groups: the frames that Python holds are as large as before, and every group comes whole."""
+    from ostinato.operators.grouped import per_group, streamed
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        largest = {}
+        for n in (300, 3000):
+            df = spark.range(n * 20).selectExpr(f"nullif(id % {n}, 7) k", "id v")
+            got = streamed(df, ["k"], lambda g, starts: pd.DataFrame({"rows": [len(g)], "groups": [len(starts)]}), "rows long, groups long").agg({"rows": "max", "groups": "sum"}).first()
+            largest[n] = got["max(rows)"]
+            assert got["sum(groups)"] == n
+            counts = per_group(df, ["k"], lambda g: pd.DataFrame({"n": [len(g)], "d": [g["v"].nunique()]}), "n long, d long").collect()
+            assert len(counts) == n and {(r["n"], r["d"]) for r in counts} == {(20, 20)} and any(r["k"] is None for r in counts)
+        assert largest[3000] <= 1100
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_long_track_in_parts_as_whole(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 1500
+    x = np.cumsum(rng.normal(0, 0.3, (n, 2)), axis=0) + 100
+    df = spark.createDataFrame([("v", 1, float(i), i, float(p[0]), float(p[1])) for i, p in enumerate(x)], "video string, marker int, msec double, mark_id long, x double, y double")
+    whole = {r["mark_id"]: (r["smooth_x"], r["smooth_y"]) for r in video.smooth_marks(df, ["video", "marker"], "msec", "mark_id").collect()}
+    monkeypatch.setattr(video, "TRACK_ROWS", 500)
+    monkeypatch.setattr(video, "TRACK_HALO", 200)
+    parts = {r["mark_id"]: (r["smooth_x"], r["smooth_y"]) for r in video.smooth_marks(df, ["video", "marker"], "msec", "mark_id").collect()}
+    assert whole.keys() == parts.keys() and len(whole) == n
+    # The first rows are drawn to the mean of their part.
+    assert max(abs(whole[k][0] - parts[k][0]) for k in whole if k >= 40) < 1e-6
+
+
+def test_greedy_corners(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f, i % 2, i, float(rng.integers(0, 9)), float(rng.integers(0, 9))) for f in range(6) for i in range(9)] + [(9, 0, 1, 1.0, 1.0), (None, 0, 1, 1.0, 1.0), (None, 1, 2, 4.0, 5.0)]
+    df = spark.createDataFrame(rows, "frame int, side int, id long, x double, y double")
+    got = {(r["frame"], r["left"], r["right"], r["distance"]) for r in sequences.greedy_corners(df, ["frame"], "side", "id", "x", "y").collect()}
+    want = set()
+    for f in {r[0] for r in rows}:
+        a, b = ([r for r in rows if r[0] == f and r[1] == s] for s in (0, 1))
+        while a and b:
+            d, p, q = min((float(np.hypot(p[3] - q[3], p[4] - q[4])), p[2], q[2]) for p in a for q in b)
+            want.add((f, p, q, d))
+            a, b = [r for r in a if r[2] != p], [r for r in b if r[2] != q]
+    assert got == want
 
 
 def test_kalman_bridges_and_drops_outliers():
