@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from heapq import heappop, heappush
 
@@ -15,6 +17,8 @@ from ostinato.operators.grouped import per_group
 from ostinato.session import checkpointed, present
 
 GAP = -1
+#: Cells of a table up to which lists are quicker than arrays.
+_FEW = 8192
 
 
 def align(x, y, match: float = 1, mismatch: float = 1, gap: float = 2, border_gap: float = 1) -> list[tuple[int, int]]:
@@ -47,25 +51,91 @@ def align(x, y, match: float = 1, mismatch: float = 1, gap: float = 2, border_ga
     return out[::-1]
 
 
+def _placed(pairs, size: int) -> list[tuple[int, int, int]]:
+    """Pairs of places in a repeated score as (place in score, place in played, repetition from 1); -1 for none."""
+    return [(i % size if i >= 0 else GAP, j, i // size + 1 if i >= 0 else GAP) for i, j in pairs]
+
+
 def repeated(score, played, times: int) -> tuple[list[tuple[int, int, int, int]], int]:
     """Alignment of the score played `times` times: (place in score, place in played, repetition from 1, both -1 for none), and its cost.
 
     The cost counts pairs that differ once and gaps twice.
     """
-    pairs = align(list(score) * times, list(played), gap=2)
-    size = len(score)
-    rows = [(i % size if i >= 0 else GAP, j, i // size + 1 if i >= 0 else GAP) for i, j in pairs]
+    rows = _placed(align(list(score) * times, list(played), gap=2), len(score))
     cost = sum(2 if GAP in (i, j) else int(score[i] != played[j]) for i, j, _ in rows)
     return rows, cost
 
 
+def _rows(above: np.ndarray, differs: list[np.ndarray], first: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of align's table for the repeated score after row `above`: number, scores, where a pair is chosen, where a gap in played.
+
+    differs: for each place of the score (once), where played differs from it. Elsewhere a gap in the score is chosen.
+    """
+    gaps = 2 * np.arange(len(above), dtype=np.int32)
+    for i in range(first, last + 1):
+        pair = above[:-1] + 1 - 2 * differs[(i - 1) % len(differs)]
+        gap = above[1:] - 2
+        row = np.empty_like(above)
+        row[0] = -i
+        np.maximum(pair, gap, out=row[1:])
+        row += gaps  # a gap in the score costs 2 a place: what remains is a running maximum
+        np.maximum.accumulate(row, out=row)
+        row -= gaps
+        paired = row[1:] == pair
+        yield i, row, paired, ~paired & (row[1:] == gap)
+        above = row
+
+
 def best_repetitions(score, played) -> tuple[int, list[tuple[int, int, int]]]:
-    """Number of repetitions with the least cost (the first of equal ones) around the ratio of lengths, and its alignment."""
-    guess = round(len(played) / len(score))
+    """Number of repetitions with the least cost (the first of equal ones) around the ratio of lengths, and its alignment, as repeated gives them.
+
+    All numbers of repetitions share one table: fewer repetitions are its first rows. The cost of each cell's alignment goes along
+    with its score. Some rows are held, and the choices between them are found again on the way back, so memory grows with the
+    number of played notes times the root of the table's rows.
+    """
+    score, played = list(score), list(played)
+    size, n = len(score), len(played)
+    guess = round(n / size)
     tried = range(max(1, guess // 2), max(int(guess * 1.5), 3))
-    found = [(repeated(score, played, k), k) for k in tried]
-    (rows, _), k = min(found, key=lambda f: f[0][1])
-    return k, rows
+    if n * size * tried[-1] <= _FEW:
+        (rows, _), k = min(((repeated(score, played, k), k) for k in tried), key=lambda f: f[0][1])
+        return k, rows
+    of = {p: (np.array(played) != p).astype(np.int32) for p in set(score)}
+    differs = [of[p] for p in score]
+    places = np.arange(n + 1, dtype=np.int32)
+    gaps, cost, costs = 2 * places, 2 * places, {}
+    last = size * tried[-1]
+    block = math.isqrt(last) + 1
+    held = {0: -places}
+    for i, row, paired, gap in _rows(held[0], differs, 1, last):
+        own = np.empty_like(cost)
+        own[0] = 2 * i
+        own[1:] = np.where(paired, cost[:-1] + differs[(i - 1) % size], cost[1:] + 2) - gaps[1:]
+        come = places.copy()  # the place before the gaps in the score that end here
+        come[1:] *= paired | gap
+        cost = own[np.maximum.accumulate(come)] + gaps
+        if i % size == 0:
+            costs[i // size] = int(cost[-1])
+        if i % block == 0:
+            held[i] = row
+    k = min(tried, key=costs.__getitem__)
+    out, i, j = [], size * k, n
+    while i:
+        start = (i - 1) // block * block
+        choices = [(paired, gap) for _, _, paired, gap in _rows(held[start], differs, start + 1, i)]
+        while i > start:
+            paired, gap = choices[i - start - 1]
+            if j and paired[j - 1]:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif not j or gap[j - 1]:
+                i -= 1
+                out.append((i, GAP))
+            else:
+                j -= 1
+                out.append((GAP, j))
+    out.extend((GAP, p) for p in range(j - 1, -1, -1))
+    return k, _placed(out[::-1], size)
 
 
 def align_takes(played: DataFrame, score: DataFrame, keys: list[str]) -> DataFrame:

@@ -108,7 +108,7 @@ def attack_release(spark: SparkSession, d: str) -> DataFrame:
 @registry.query("segment_and_align")
 def segment_and_align(spark: SparkSession, d: str) -> DataFrame:
     """Notes found in each recording, aligned with the score of its tune: rec_id, note_nbr, start, end, score_place, repetition; only those that are matched."""
-    found = note_segmentation(spark, d)
+    found = checkpointed(note_segmentation(spark, d).select("rec_id", "note_nbr", "start", "end", "round_pitch"))
     rec = table(spark, d, "recordings").select("rec_id", F.nullif(F.trim("tune"), F.lit("")).alias("tune"))
     played = found.join(broadcast_if_small(rec), "rec_id").select("rec_id", "tune", F.col("note_nbr").alias("place"), (F.rint(F.col("round_pitch") + 2) + 69).cast("long").alias("pitch"))
     aligned = sequences.align_takes(played, _written(spark, d), ["rec_id"]).filter("score_place IS NOT NULL AND played_place IS NOT NULL")

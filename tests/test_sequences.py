@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 from hypothesis import given, settings
@@ -54,6 +56,53 @@ def test_repetitions():
     assert sequences.repeated(score, [1, 5, 7], 1)[1] == 2  # a gap counts twice
 
 
+def _by_each(score, played):
+    """best_repetitions by an alignment of its own for each number."""
+    guess = round(len(played) / len(score))
+    (rows, _), k = min(((sequences.repeated(score, played, k), k) for k in range(max(1, guess // 2), max(int(guess * 1.5), 3))), key=lambda f: f[0][1])
+    return k, rows
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=8), st.lists(st.integers(0, 3), max_size=40))
+def test_repetitions_share_a_table(score, played):
+    few, sequences._FEW = sequences._FEW, -1
+    try:
+        assert sequences.best_repetitions(score, played) == _by_each(score, played)
+    finally:
+        sequences._FEW = few
+
+
+def test_repetitions_of_a_long_take():
+    """A recording with thousands of notes: its work grows with the square of the notes, not the cube (minutes)."""
+    rng = np.random.default_rng(3)
+    score = rng.integers(57, 80, 24).tolist()
+    played = score * 80
+    for i in rng.integers(0, len(played), 100):
+        played[i] += 1
+    began = time.process_time()
+    k, rows = sequences.best_repetitions(score, played)
+    assert time.process_time() - began < 15
+    assert k == 80 and [j for _, j, _ in rows if j >= 0] == list(range(len(played)))
+    wrong = sum(played[j] != score[i] for i, j, _ in rows if i >= 0 and j >= 0)
+    assert len(rows) == len(played) and wrong == sum(p != q for p, q in zip(played, score * 80, strict=True))
+
+
+def test_notes_are_found_once(spark):
+    """segment_and_align reads the notes it finds twice but finds them once."""
+    from pathlib import Path
+
+    import pytest
+
+    from ostinato.plans import analysis
+
+    folder = Path("/root/testdata/sf0.001")
+    if not folder.exists():
+        pytest.skip("no test tables")
+    plan = analysis.segment_and_align(spark, str(folder))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1  # the alignment
+
+
 def test_greedy_pairs():
     x, y = np.array([0.0, 1.0, 5.0]), np.array([0.9, 1.2, 9.0])
     assert sequences.greedy_pairs(x, y, 2.0) == [(1, 0), (0, 1)]
