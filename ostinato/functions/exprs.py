@@ -186,9 +186,13 @@ def complex_parts(re, im) -> tuple[Column, Column]:
 # Text
 
 
+#: All space separators of Unicode, which the SQL's trim removes.
+BLANKS = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
 def remapped(x, mapping: Mapping[str, str]) -> Column:
     """x in small letters without outer blanks, replaced where the mapping has it."""
-    key = F.lower(F.trim(col(x)))
+    key = F.lower(F.trim(col(x), F.lit(BLANKS)))
     return F.coalesce(F.create_map(*[F.lit(v) for kv in mapping.items() for v in kv])[key], key) if mapping else key
 
 

@@ -70,8 +70,8 @@ def geometry_measures(spark: SparkSession, d: str) -> DataFrame:
 )
 def mapped_values(spark: SparkSession, d: str) -> DataFrame:
     """Instruments by a list of replacements, and columns without the prefix of their channel."""
-    n = table(spark, d, "notes").select("note_key", exprs.remapped("instrument", {"lab": "laboratory"}).alias("instrument"), F.col("f0_avg").alias("barrel_f0_avg"), F.col("f0_var").alias("barrel_f0_var"))
-    return exprs.without_prefix(n.dropDuplicates(["note_key"]), "barrel_")
+    n = table(spark, d, "notes").select("note_key", "instrument", F.col("f0_avg").alias("barrel_f0_avg"), F.col("f0_var").alias("barrel_f0_var")).distinct()
+    return exprs.without_prefix(n.withColumn("instrument", exprs.remapped("instrument", {"lab": "laboratory"})), "barrel_")
 
 
 @registry.query(
